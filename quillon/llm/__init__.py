@@ -1,10 +1,13 @@
 """Operators for preparing training text. `QUERIES` and `ORACLES` are what __spark_entry__ registers."""
 
-from quillon.llm import exact_dedup, language_id, secrets
+from quillon.llm import bpe, exact_dedup, language_id, packing, pii, secrets
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_packing": packing.op10_packing,
 }
 ORACLES = {"op5_exact_dedup": exact_dedup.ORACLE}

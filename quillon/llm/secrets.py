@@ -134,12 +134,3 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return digest(scan_secrets(docs, train(docs)))
 
-
-ORACLE = """
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
-SELECT doc_id,
-  CAST(len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), x -> length(x) >= 6)) AS BIGINT) AS n_assign,
-  CAST(len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), x -> length(x) >= 20)) AS BIGINT) AS n_access,
-  CAST(len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), x -> length(x) >= 24)) AS BIGINT) AS n_hex
-FROM d
-"""  # counts only: positions and the model's spans have no SQL form, so tests hold those against brute force
