@@ -1,9 +1,10 @@
 """Operators for preparing training text. `QUERIES` and `ORACLES` are what __spark_entry__ registers."""
 
-from quillon.llm import bpe, exact_dedup, language_id, packing, pii, secrets
+from quillon.llm import bpe, exact_dedup, language_id, neighbours, packing, pii, secrets
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_nearest": neighbours.op2_nearest,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_pii_surrogates": pii.op4_pii_surrogates,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
