@@ -209,7 +209,7 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
                     close = np.flatnonzero(row <= limit)
                     close = close[np.lexsort((first[close], row[close]))][:most]
                     out.append(pd.DataFrame({"query_id": query, "ids": [held["ids"].iat[c] for c in close], "score": row[close]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "ids": [], "score": []})
+        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
 
     near = indexed.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInPandas(rerank, "query_id long, ids array<long>, score double")
     each = near.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
