@@ -60,10 +60,11 @@ def unpack(raws: list[bytes], dtypes: list) -> list[np.ndarray]:
     return [np.concatenate([*p, np.zeros(0, d)]) for p, d in zip(parts, dtypes, strict=True)]
 
 
-def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
     """Rows (uid32, ordinals): per document, packed ordinals (uint32) of anchors that occur more than once.
 
-    anchors(text column) gives the hash of every anchor and the n+1 offsets by document. uid32 is the low half of uid;
+    anchors(text column) gives the hash of every anchor, whether it is known to repeat, and the n+1 offsets by
+    document. uid32 is the low half of uid;
     documents that share one get each other's ordinals too, which only adds work.
     """
     parts = partitions(docs.sparkSession)
@@ -74,10 +75,10 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
         held, size = [], 0
         for batch in batches:
             for part in text_slices(batch):
-                found, ends = anchors(part.column("text"))
+                found, known, ends = anchors(part.column("text"))
                 counts = np.diff(ends)
                 uid = np.repeat(part.column("uid").to_numpy().view(U64).astype(np.uint32), counts)
-                held.append((found, uid, (np.arange(len(found)) - np.repeat(ends[:-1], counts)).astype(np.uint32)))
+                held.append((found, uid, (np.arange(len(found)) - np.repeat(ends[:-1], counts)).astype(np.uint32), known))
                 size += len(found)
             if size > FLUSH:
                 yield from flush(held)
@@ -86,12 +87,13 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
             yield from flush(held)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        found, uid, ordinal = (np.concatenate(x) for x in zip(*held, strict=True))
+        found, uid, ordinal, known = (np.concatenate(x) for x in zip(*held, strict=True))
         by = np.argsort(found, kind="stable")
-        found, uid, ordinal = found[by], uid[by], ordinal[by]
+        found, uid, ordinal, known = found[by], uid[by], ordinal[by], known[by]
         new = np.r_[True, found[1:] != found[:-1]][: len(found)]
         many = ~new
         many[:-1] |= ~new[1:]
+        many |= known
         yield from blocks((mix(uid[many].astype(U64)) % U64(buckets)).astype(np.int64), [found[many].astype(np.uint32), uid[many], ordinal[many]], True)
         first = np.sort(np.flatnonzero(new))
         yield from blocks((found[first] >> U64(32)).astype(np.int64) % buckets, [found[first].astype(np.uint32), uid[first], ordinal[first]], False)

@@ -62,10 +62,10 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return least[start[which]], start[which] + shift, np.minimum(span, count[which] - shift), doc[which]
 
 
-def anchors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def anchors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = text_bytes(column)
     found, _, _, doc = anchor_runs(data, offsets)
-    return found, np.searchsorted(doc, np.arange(len(offsets)))
+    return found, np.zeros(len(found), bool), np.searchsorted(doc, np.arange(len(offsets)))
 
 
 def suffix_order(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
