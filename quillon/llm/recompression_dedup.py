@@ -36,16 +36,15 @@ FAR = 1 << 40
 def recompress(name: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, level: int) -> tuple:
     """One round on symbols in text order: (name, doc, left, right), [left, right) being the words each one's name and place depend on."""
 
-    def beside(d: np.ndarray, values: np.ndarray, step: int) -> np.ndarray:
-        """The neighbour's value, or FAR where the document ends: what lies there is not in the window."""
-        out = np.full(len(values), step * FAR)
-        if len(values) > 1:
+    def reach(d: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """What a symbol depends on if it also depends on the one beside it: without end where the document ends, as a window does not show that."""
+        out_lo, out_hi = np.full(len(lo), -FAR), np.full(len(lo), FAR)
+        if len(lo) > 1:
             same = d[1:] == d[:-1]
-            if step > 0:
-                out[:-1] = np.where(same, values[1:], FAR)
-            else:
-                out[1:] = np.where(same, values[:-1], -FAR)
-        return out
+            to, of = (slice(None, -1), slice(1, None)) if step > 0 else (slice(1, None), slice(None, -1))
+            out_lo[to] = np.where(same, np.minimum(lo[to], lo[of]), -FAR)
+            out_hi[to] = np.where(same, np.maximum(hi[to], hi[of]), FAR)
+        return out_lo, out_hi
 
     if not len(name):
         return name, doc, left, right
@@ -57,7 +56,8 @@ def recompress(name: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.nd
     run = np.where(count > 1, mix(name[first] * U64(0xD1342543DE82EF95) + count.astype(U64)), name[first])
     d = doc[first]
     lo, hi = left[first], right[last]
-    lo, hi = np.minimum(lo, beside(d, lo, -1)), np.maximum(hi, beside(d, hi, 1))
+    before, behind = reach(d, lo, hi, -1), reach(d, lo, hi, 1)
+    lo, hi = np.minimum(before[0], behind[0]), np.maximum(before[1], behind[1])
     # pairs: left class before right class
     after = (mix(run ^ U64(0x9E6C63D0876A9A47 + level)) & U64(1)).astype(bool)
     joins = np.zeros(len(run), bool)
@@ -65,10 +65,9 @@ def recompress(name: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.nd
     taken = np.r_[False, joins[:-1]]
     follow = np.r_[run[1:], U64(0)]
     new = np.where(joins, mix(run * U64(0xA0761D6478BD642F) + (follow ^ U64(level + 1)) * U64(0xE7037ED1A0B428DB)), run)
-    alone_lo = np.where(after, np.minimum(lo, beside(d, lo, -1)), lo)
-    alone_hi = np.where(after, hi, np.maximum(hi, beside(d, hi, 1)))
-    out_lo = np.where(joins, lo, alone_lo)
-    out_hi = np.where(joins, np.r_[hi[1:], 0], alone_hi)
+    before, behind = reach(d, lo, hi, -1), reach(d, lo, hi, 1)
+    leans_back = after & ~joins
+    out_lo, out_hi = (np.where(leans_back, x, y) for x, y in zip(before, behind, strict=True))
     stay = ~taken
     return new[stay], d[stay], out_lo[stay], out_hi[stay]
 
