@@ -48,16 +48,17 @@ def recompress(name: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.nd
 
     if not len(name):
         return name, doc, left, right
-    # runs: a symbol's name now says how often it stands there, which its neighbours decide
+    # runs: a symbol's name now says how often it stands there, which the single symbols at its ends decide
+    before, behind = reach(doc, left, right, -1), reach(doc, left, right, 1)
     head = np.r_[True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1])]
     first = np.flatnonzero(head)
     last = np.r_[first[1:], len(name)] - 1
     count = last - first + 1
     run = np.where(count > 1, mix(name[first] * U64(0xD1342543DE82EF95) + count.astype(U64)), name[first])
     d = doc[first]
-    lo, hi = left[first], right[last]
-    before, behind = reach(d, lo, hi, -1), reach(d, lo, hi, 1)
-    lo, hi = np.minimum(before[0], behind[0]), np.maximum(before[1], behind[1])
+    lo = np.minimum(np.minimum.reduceat(left, first), before[0][first])
+    hi = np.maximum.reduceat(right, first)
+    lo, hi = np.minimum(lo, behind[0][last]), np.maximum(np.maximum(hi, behind[1][last]), before[1][first])
     # pairs: left class before right class
     after = (mix(run ^ U64(0x9E6C63D0876A9A47 + level)) & U64(1)).astype(bool)
     joins = np.zeros(len(run), bool)
