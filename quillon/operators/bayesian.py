@@ -25,21 +25,22 @@ def bf_label(bf: float) -> str:
     return "extreme"
 
 
-def jzs_bf(t: float, n: float, df: float, r: float = 0.707) -> float:
-    """The engine's quadrature factor: a mixture over g with weight 2 / (pi r (1 + g / r^2)), relative to the t density at t."""
+def jzs_bf(t: float, n: float, r: float = 0.707) -> float:
+    """Evidence by quadrature over g: (1 + ng)^-1/2 exp(t^2 ng / (2 (1 + ng))) weighted by 2 / (pi r (1 + g / r^2)), over the t density at t.
+
+    The weight is not squared, so this is no proper prior; it is the factor this engine is defined by.
+    """
     if abs(t) < 1e-10:
         return 1.0
 
-    def inside(u: np.ndarray) -> np.ndarray:
-        g = r * r * u / (1 - u)
-        w = 2 / (math.pi * r) / (1 + g / r**2)
-        x = t * t / (2 * (1 + n * g))
-        like = np.where(x > 500, 0.0, np.exp(-np.minimum(x, 500)) / np.sqrt(1 + n * g))
-        return like * w * r * r / (1 - u) ** 2
+    def inside(u: np.ndarray) -> np.ndarray:  # g = r^2 u^2 / (1 - u)^2 tames both ends
+        g = (r * u / (1 - u)) ** 2
+        e = t * t * n * g / (2 * (1 + n * g))
+        like = np.where(e > 500, 0.0, np.exp(np.minimum(e, 500.0))) / np.sqrt(1 + n * g)
+        return like * 2 / (math.pi * r) / (1 + g / r**2) * 2 * r * r * u / (1 - u) ** 3
 
-    top = S.integrate(inside, 1e-9, 1 - 1e-9, 400)
-    low = S.t_pdf(t, df)
-    return top / low if low > 0 else 1e200
+    top, low = S.integrate(inside, 0.0, 1.0, 400), S.t_pdf(t, max(1.0, n - 1))
+    return max(1e-10, top / low) if low > 0 and top > 0 else 1.0
 
 
 def out(name: str, bf: float, mean: float, sd: float, ci: tuple[float, float], level: float, **more) -> dict:
@@ -47,7 +48,7 @@ def out(name: str, bf: float, mean: float, sd: float, ci: tuple[float, float], l
 
 
 def bayes_factor_shadow(t_statistic: float, n: int, prior_scale: float = 0.707) -> dict:
-    bf = jzs_bf(t_statistic, n, max(n - 1, 1), prior_scale)
+    bf = jzs_bf(t_statistic, n, prior_scale)
     return dict(bf10=bf, bf01=1 / bf if bf > 0 else math.inf, bf_label=bf_label(bf))
 
 
@@ -57,7 +58,7 @@ def bayesian_ttest_one_sample(df: DataFrame, value: str, mu: float = 0.0, prior_
         p = None
         if rope is not None and w["se"] > 0:
             p = S.t_sf((rope[0] - (r["mean"] - mu)) / w["se"], w["df"]) - S.t_sf((rope[1] - (r["mean"] - mu)) / w["se"], w["df"])
-        return out("Bayesian one-sample t-test", jzs_bf(w["statistic"], r["n"], w["df"], prior_scale), r["mean"], w["se"], (w["ci_lower"], w["ci_upper"]), ci_level, p_rope=p)
+        return out("Bayesian one-sample t-test", jzs_bf(w["statistic"], r["n"], prior_scale), r["mean"], w["se"], (w["ci_lower"], w["ci_upper"]), ci_level, p_rope=p)
 
     return finish(moments(df, value, by), by, close, OUT + ", p_rope double")
 
@@ -66,7 +67,7 @@ def bayesian_ttest_two_sample(df: DataFrame, value: str, group: str, prior_scale
     def close(r):
         a, b = two(dicts(r["g"]), labels)
         w = two_sample_from(a, b, False, 0.05, ci_level)
-        return out("Bayesian two-sample t-test", jzs_bf(w["statistic"], a["n"] * b["n"] / (a["n"] + b["n"]), w["df"], prior_scale), w["mean_diff"], w["se"], (w["ci_lower"], w["ci_upper"]), ci_level)
+        return out("Bayesian two-sample t-test", jzs_bf(w["statistic"], a["n"] * b["n"] / (a["n"] + b["n"]), prior_scale), w["mean_diff"], w["se"], (w["ci_lower"], w["ci_upper"]), ci_level)
 
     return finish(group_stats(_only(df, group, labels), value, group, by), by, close, OUT)
 
@@ -76,8 +77,8 @@ def bayesian_proportion(df: DataFrame, success: str, prior_a: float = 1.0, prior
 
     def close(r):
         a, b = prior_a + int(r["k"]), prior_b + int(r["n"]) - int(r["k"])
-        low = S.betainc(a, b, 0.5)
-        odds = (1 - low) / low if low > 1e-300 else 1e200
+        low, prior = S.betainc(a, b, 0.5), S.betainc(prior_a, prior_b, 0.5)
+        odds = (1 - low) / low / ((1 - prior) / prior) if low > 0 and prior > 0 else 1.0
         return out("Bayesian proportion", odds, a / (a + b), math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1))), (S.beta_ppf((1 - ci_level) / 2, a, b), S.beta_ppf((1 + ci_level) / 2, a, b)), ci_level)
 
     return finish(stats, by, close, OUT)
@@ -89,7 +90,7 @@ def bayesian_correlation(df: DataFrame, x: str, y: str, ci_level: float = 0.95,
         need(n >= 4, "at least 4 pairs are needed")
         rho = s[0, 1] / math.sqrt(s[0, 0] * s[1, 1])
         t = rho * math.sqrt((n - 2) / max(1 - rho * rho, 1e-300))
-        return out("Bayesian correlation", jzs_bf(t, n, n - 2), rho, (1 - rho * rho) / math.sqrt(n - 1), fisher_z(rho, n, ci_level), ci_level)
+        return out("Bayesian correlation", jzs_bf(t, n), rho, (1 - rho * rho) / math.sqrt(n - 1), fisher_z(rho, n, ci_level), ci_level)
 
     return finish(gram(df, [x, y], by), by, close, OUT)
 
@@ -127,7 +128,7 @@ def bayesian_ab(df: DataFrame, value: str, group: str, prior_scale: float = 0.70
         se = math.sqrt(var0(a) / a["n"] + var0(b) / b["n"])
         diff, z = b["mean"] - a["mean"], S.norm_ppf(0.5 + ci_level / 2)
         w = two_sample_from(b, a, False, 0.05, ci_level)
-        bf = jzs_bf(w["statistic"], a["n"] * b["n"] / (a["n"] + b["n"]), w["df"], prior_scale)
+        bf = jzs_bf(w["statistic"], a["n"] * b["n"] / (a["n"] + b["n"]), prior_scale)
         return out("Bayesian A/B", bf, diff, se, (diff - z * se, diff + z * se), ci_level, p_b_better=S.norm_cdf(diff / se) if se > 0 else 0.5, uplift=diff / a["mean"] if a["mean"] else None)
 
     return finish(group_stats(_only(df, group, labels), value, group, by), by, close, OUT + ", p_b_better double, uplift double")
