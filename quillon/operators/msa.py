@@ -19,7 +19,7 @@ def icc(df: DataFrame, value: str, subject: str, rater: str, icc_type: str = "IC
     The subject margin is as long as the subjects, so its sum of squares is taken in Spark, not from collected cells.
     """
     rows = clean(df, [value], [subject, rater])
-    whole = rows.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count("*").alias("N"), F.countDistinct(rater).alias("k"))
+    whole = rows.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count("*").alias("total"), F.countDistinct(rater).alias("k"))
     per = rows.groupBy(subject).agg(F.avg(value).alias("ms"), F.count("*").alias("c")).crossJoin(F.broadcast(whole.select("m")))
     subj = per.agg(F.count("*").alias("n"), F.sum(F.col("c") * F.pow(F.col("ms") - F.col("m"), F.lit(2.0))).alias("ssr"))
     col = rows.groupBy(rater).agg(F.avg(value).alias("mc"), F.count("*").alias("c")).crossJoin(F.broadcast(whole.select("m"))).agg(F.sum(F.col("c") * F.pow(F.col("mc") - F.col("m"), F.lit(2.0))).alias("ssc"))
@@ -27,7 +27,7 @@ def icc(df: DataFrame, value: str, subject: str, rater: str, icc_type: str = "IC
     def close(r):
         n, k = int(r["n"]), int(r["k"])
         need(n > 1 and k > 1, "at least 2 subjects and 2 raters are needed")
-        sst, ssr, ssc = r["v"] * r["N"], r["ssr"], r["ssc"]
+        sst, ssr, ssc = r["v"] * r["total"], r["ssr"], r["ssc"]
         sse = sst - ssr - ssc
         msr, msc, mse = ssr / (n - 1), ssc / (k - 1), sse / ((n - 1) * (k - 1))
         if icc_type == "ICC(1,1)":
@@ -154,10 +154,10 @@ def krippendorff_alpha(df: DataFrame, value: str, unit: str, level: str = "nomin
 
 def fleiss_kappa(df: DataFrame, category: str, subject: str) -> DataFrame:
     """Every subject must have the same number of ratings."""
-    per = df.filter(F.col(category).isNotNull()).groupBy(subject, category).agg(F.count("*").cast("double").alias("c"))
-    subj = per.groupBy(subject).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+    per = df.filter(F.col(category).isNotNull()).groupBy(subject, category).agg(F.count("*").cast("double").alias("_c"))
+    subj = per.groupBy(subject).agg(F.sum("_c").alias("m"), F.sum(F.col("_c") * F.col("_c")).alias("cc"))
     s = subj.agg(F.count("*").alias("N"), F.min("m").alias("lo"), F.max("m").alias("m"), F.avg((F.col("cc") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("po"))
-    cats = per.groupBy(category).agg(F.sum("c").alias("c")).agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("tt"))
+    cats = per.groupBy(category).agg(F.sum("_c").alias("_c")).agg(F.sum("_c").alias("t"), F.sum(F.col("_c") * F.col("_c")).alias("tt"))
 
     def close(r):
         need(r["lo"] == r["m"], "every subject needs the same number of ratings")

@@ -170,7 +170,7 @@ def per_series(df: DataFrame, values: Sequence[str], order: Sequence[str], by: S
     head = ", ".join(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by)
     names = [p.strip().split(" ")[0] for p in schema.split(",")]
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
         made = pd.DataFrame(fn(pdf[list(values)].to_numpy(float)), columns=names)
         for i, b in enumerate(by):
