@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._base import U64, map_batches, mix, partitions, text_slices
 
-FLUSH = 600_000  # entries a map task gathers before it writes its blocks
+FLUSH = 300_000  # entries a map task gathers before it writes its blocks
 
 
 def with_uid(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 21  # text handled by one numpy pass; a longer single text is a slice of its own
+SLICE_BYTES = 1 << 19  # text handled by one numpy pass; a longer single text is a slice of its own
 
 _written: list[str] = []
 
