@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm._base import U64, map_batches, mix, partitions, text_slices
 
+SPREAD = 2  # buckets per partition; every task writes a row per bucket it has entries for
 FLUSH = 300_000  # entries a map task gathers before it writes its blocks
 
 
@@ -68,7 +69,7 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
     documents that share one get each other's ordinals too, which only adds work.
     """
     parts = partitions(docs.sparkSession)
-    buckets = parts * 8
+    buckets = parts * SPREAD
     kinds = [np.uint32, np.uint32, np.uint32]  # hash, uid32, ordinal
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,14 +104,19 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
         for batch in batches:
             for bucket, sure, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sure", "packed")), strict=True):
                 by_bucket.setdefault(-1 if sure else bucket, []).append(raw)
-        for bucket, raws in by_bucket.items():
+        out = []
+        while by_bucket:
+            bucket, raws = by_bucket.popitem()
             found, uid, ordinal = unpack(raws, kinds)
             if bucket >= 0:
                 by = np.argsort(found, kind="stable")
                 same = found[by][1:] == found[by][:-1]
                 many = np.r_[False, same] | np.r_[same, False] if len(by) > 1 else np.zeros(len(by), bool)
                 uid, ordinal = uid[by][many], ordinal[by][many]
-            yield from blocks((mix(uid.astype(U64)) % U64(buckets)).astype(np.int64), [uid, ordinal], False)
+            out.append((uid, ordinal))
+        if out:
+            uid, ordinal = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield from blocks((mix(uid.astype(U64)) % U64(parts)).astype(np.int64), [uid, ordinal], False)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raws = [raw for batch in batches for raw in batch.column("packed").to_pylist()]
@@ -151,10 +157,13 @@ def meet_and_return(sent: DataFrame, kernel: Callable[[list[bytes]], tuple[np.nd
         for batch in batches:
             for bucket, sure, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sure", "packed")), strict=True):
                 by_bucket.setdefault(-1 if sure else bucket, []).append(raw)
+        out = []
         while by_bucket:
             bucket, raws = by_bucket.popitem()
-            uid, start, mask = unpack(raws, kinds) if bucket < 0 else kernel(raws)
-            yield from blocks((mix(uid.view(U64)) % U64(parts * 8)).astype(np.int64), [uid, start, mask], False)
+            out.append(unpack(raws, kinds) if bucket < 0 else kernel(raws))
+        if out:
+            uid, start, mask = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield from blocks((mix(uid.view(U64)) % U64(parts)).astype(np.int64), [uid, start, mask], False)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid, start, mask = unpack([raw for batch in batches for raw in batch.column("packed").to_pylist()], kinds)

@@ -83,43 +83,47 @@ def _units(mention: str) -> str:
 
 
 def _scrambled(shown: str, seed: str, keep: str = "false") -> str:
-    """SQL: each digit and letter of `shown` replaced in kind, but where `keep` holds for position i and character c."""
-    c = f"substring({shown}, i, 1)"
+    """SQL: each digit and letter of `shown` replaced in kind, but where `keep` holds for place i (from 0)."""
     return (
-        f"array_join(transform(sequence(1, length({shown})), i -> CASE WHEN {keep.replace('{c}', c)} THEN {c} "
-        f"WHEN {c} rlike '[0-9]' THEN cast({_pick(seed, 'i', 10)} AS string) WHEN {c} rlike '[a-z]' THEN chr(97 + {_pick(seed, 'i', 26)}) "
-        f"WHEN {c} rlike '[A-Z]' THEN chr(65 + {_pick(seed, 'i', 26)}) ELSE {c} END), '')"
+        f"array_join(transform(split({shown}, ''), (c, i) -> CASE WHEN {keep} THEN c WHEN c rlike '[0-9]' THEN cast({_pick(seed, 'i', 10)} AS string) "
+        f"WHEN c rlike '[a-z]' THEN chr(97 + {_pick(seed, 'i', 26)}) WHEN c rlike '[A-Z]' THEN chr(65 + {_pick(seed, 'i', 26)}) ELSE c END), '')"
     )
 
 
+def _let(names: dict[str, str], body: str, var: str) -> str:
+    """SQL: body with var.<name> bound to each value, so that a long value is written and computed once."""
+    fields = ", ".join(f"'{n}', {v}" for n, v in names.items())
+    return f"element_at(transform(array(named_struct({fields})), {var} -> {body}), 1)"
+
+
 def _luhn(digits: str) -> str:
-    """SQL: the Luhn sum of a 16-digit string modulo 10."""
-    return f"aggregate(sequence(1, length({digits})), 0L, (s, j) -> (s + CASE WHEN pmod(length({digits}) - j, 2) = 1 THEN (cast(substring({digits}, j, 1) AS int) * 2) div 10 + (cast(substring({digits}, j, 1) AS int) * 2) % 10 ELSE cast(substring({digits}, j, 1) AS bigint) END) % 10)"
+    """SQL: the Luhn sum of a digit string modulo 10."""
+    d = "cast(d AS bigint)"
+    return f"aggregate(transform(reverse(filter(split({digits}, ''), e -> e <> '')), (d, j) -> CASE WHEN j % 2 = 1 THEN ({d} * 2) div 10 + ({d} * 2) % 10 ELSE {d} END), 0L, (s, x) -> s + x)"
 
 
 def _surrogate(unit: str, attempt: str, key: str) -> str:
     """SQL: the replacement of a unit at an attempt."""
-    kind, canon, shown = f"{unit}.kind", f"{unit}.canon", f"{unit}.shown"
-    seed = f"sha2(concat_ws('|', {_quote(key)}, {kind}, {canon}, cast({attempt} AS string)), 256)"
-    host = f"sha2(concat_ws('|', {_quote(key)}, 'host', substring_index({canon}, '@', -1)), 256)"
-    domain = f"substring_index({shown}, '@', -1)"
+    seed = f"sha2(concat_ws('|', {_quote(key)}, {unit}.kind, {unit}.canon, cast({attempt} AS string)), 256)"
+    host = f"sha2(concat_ws('|', {_quote(key)}, 'host', substring_index({unit}.canon, '@', -1)), 256)"
+    domain = "substring_index(q.shown, '@', -1)"
     labels = f"substring({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)))"
-    email = f"concat({_scrambled(f'substring_index({shown}, {_quote("@")}, 1)', seed)}, '@', {_scrambled(labels, host)}, substring_index({domain}, '.', -1))"
+    email = f"concat({_scrambled(f'substring_index(q.shown, {_quote("@")}, 1)', 'q.seed')}, '@', {_scrambled(labels, host)}, substring_index({domain}, '.', -1))"
     # a card: scramble all but the first digit, then set the last one so that the Luhn sum stays what it was
-    body = _scrambled(f"substring({shown}, 1, length({shown}) - 1)", seed, "i = 1")
-    card = (
-        f"element_at(transform(array({body}), b -> concat(b, cast(pmod({_luhn(canon)} - "
-        f"{_luhn('concat(regexp_replace(b, ' + _quote('[^0-9]') + ', ' + _quote('') + '), ' + _quote('0') + ')')}, 10) AS string))), 1)"
-    )
-    phone = _scrambled(shown, seed, f"(substring({shown}, 1, 1) = '+' AND i <= length(regexp_extract({shown}, '^[+][0-9]+', 0)) AND length(regexp_extract({shown}, '^[+][0-9]+', 0)) <= 4)")
-    ip = f"array_join(transform(sequence(1, 4), i -> cast(1 + {_pick(seed, 'i', 254)} AS string)), '.')"
-    iban = _scrambled(shown, seed, "i <= 2")
+    body = _scrambled("substring(q.shown, 1, length(q.shown) - 1)", "q.seed", "i = 0")
+    fix = f"concat(w.body, cast(pmod({_luhn('q.canon')} - {_luhn('concat(regexp_replace(w.body, ' + _quote('[^0-9]') + ', ' + _quote('') + '), ' + _quote('0') + ')')}, 10) AS string))"
+    card = _let({"body": body}, fix, "w")
+    code = "length(regexp_extract(q.shown, '^[+][0-9]+', 0))"
+    phone = _let({"code": code}, _scrambled("q.shown", "q.seed", "w.code <= 4 AND i < w.code"), "w")
+    ip = f"array_join(transform(sequence(1, 4), i -> cast(1 + {_pick('q.seed', 'i', 254)} AS string)), '.')"
     spelled = lambda script: (  # noqa: E731  more attempts, more syllables
-        f"concat(array_join(transform(sequence(1, 2 + {attempt}), i -> element_at({_words(SYLLABLES[script])}, cast(1 + {_pick(seed, 'i', 16)} AS int))), ''), "
-        f"element_at(CASE {kind} " + " ".join(f"WHEN {_quote(k)} THEN {_words(v)}" for k, v in ENDINGS[script].items()) + f" ELSE array('') END, cast(1 + {_pick(seed, '0', 4)} AS int)))"
+        f"concat(array_join(transform(sequence(1, 2 + q.attempt), i -> element_at({_words(SYLLABLES[script])}, cast(1 + {_pick('q.seed', 'i', 16)} AS int))), ''), "
+        f"element_at(CASE q.kind " + " ".join(f"WHEN {_quote(k)} THEN {_words(v)}" for k, v in ENDINGS[script].items()) + f" ELSE array('') END, cast(1 + {_pick('q.seed', '0', 4)} AS int)))"
     )
-    person = f"CASE WHEN {shown} rlike '[\\\\p{{IsCyrillic}}]' THEN {spelled('cyrillic')} WHEN {shown} rlike '[\\\\p{{IsGreek}}]' THEN {spelled('greek')} ELSE {spelled('latin')} END"
-    return f"CASE {kind} WHEN '' THEN {shown} WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {iban} WHEN 'ssn' THEN {_scrambled(shown, seed)} ELSE initcap({person}) END"
+    person = f"CASE WHEN q.shown rlike '[\\\\p{{IsCyrillic}}]' THEN {spelled('cyrillic')} WHEN q.shown rlike '[\\\\p{{IsGreek}}]' THEN {spelled('greek')} ELSE {spelled('latin')} END"
+    same = _scrambled("q.shown", "q.seed")
+    made = f"CASE q.kind WHEN '' THEN q.shown WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {_scrambled('q.shown', 'q.seed', 'i < 2')} WHEN 'ssn' THEN {same} ELSE initcap({person}) END"
+    return _let({"kind": f"{unit}.kind", "canon": f"{unit}.canon", "shown": f"{unit}.shown", "attempt": attempt, "seed": seed}, made.replace(host, "q.host"), "q").replace("named_struct('kind'", f"named_struct('host', {host}, 'kind'", 1)
 
 
 def _canonical(unit: str) -> str:

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_uid
+from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_uid
 from quillon.llm._base import U64, map_batches, mix, partitions, spread, table, text_bytes, text_slices, window_hashes, words_of
 from quillon.llm.suffix_dedup import sliding_least
 
@@ -173,7 +173,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     """doc_id, text, uid, marks: the marked 20-word windows of each document, for covered()."""
     rows = with_uid(docs)
     parts = partitions(docs.sparkSession)
-    buckets = parts * 8
+    buckets = parts * SPREAD
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0

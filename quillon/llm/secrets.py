@@ -30,6 +30,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/")
+# Words that identifiers are commonly made of, the ordinary sample's share that is no corpus.
+NAMES = "get set user name value index table request handler service context factory manager config default count limit max min plain identifier connection application example org path file line test data list map key string number size type node item order account page content message event time date first last next".split()
 MAX_TRAIN_DOCS = 500
 MIN_RATIO = 0.5  # nats per transition
 
@@ -53,10 +55,12 @@ class MarkovPair:
     def fit(cls, random: list[str], ordinary: list[str]) -> MarkovPair:
         tables = []
         for sample in (random, ordinary):
-            counts = np.full((N_CLASS, N_CLASS), 0.5)
+            counts = np.zeros((N_CLASS, N_CLASS))
             for text in sample:
                 c = _codes(text)
                 np.add.at(counts, (c[:-1], c[1:]), 1)
+            single = counts.sum(0) + 0.5
+            counts += 5 * single / single.sum()  # pairs not seen fall back on how common the second character is
             tables.append(np.log(counts / counts.sum(1, keepdims=True)))
         return cls(tables[0] - tables[1])
 
@@ -69,8 +73,8 @@ def labelled_samples(texts: list[str], seed: int = 7) -> tuple[list[str], list[s
     """(random strings, ordinary identifiers) to learn from."""
     rng = np.random.default_rng(seed)
     random = ["".join(rng.choice(list(a), int(rng.integers(20, 65)))) for a in ALPHABETS for _ in range(500)]
-    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,20}", t)] or ["value", "index", "name", "table", "request", "handler"]
-    words = [words[i] for i in rng.permutation(len(words))]
+    words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,20}", t)]
+    words = [words[i] for i in rng.permutation(len(words))][:57_000] + [w for _ in range(60) for w in rng.permutation(NAMES).tolist()]
     joined = []
     for i in range(0, min(len(words), 60_000) - 2, 3):
         a = words[i : i + 3]
