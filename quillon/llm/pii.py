@@ -173,7 +173,7 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     made = f"transform(_units, us -> array_join(transform(us, u -> {_surrogate('u', attempt, key)}), ''))"
     rows = rows.withColumn("_made", F.when(F.size("_mentions") > 0, F.expr(made)))
     around = f"split(cast(text AS string), {_quote(ALL)}, -1)"
-    joined = f"array_join(transform({around}, (p, i) -> concat(p, coalesce(get(_made, i), ''))), '')"
+    joined = f"array_join(zip_with({around}, _made, (p, m) -> concat(p, coalesce(m, ''))), '')"
     text = F.when(F.size("_mentions") > 0, F.expr(joined)).otherwise(F.col("text"))
     kinds = F.expr("transform(_units, us -> CASE WHEN us[0].kind = '' THEN 'name' ELSE us[0].kind END)")
     return rows.select(*((text if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)), F.coalesce(kinds, F.array()).alias("_n_entities"))
