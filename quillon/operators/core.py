@@ -325,7 +325,7 @@ def qq_spec(df: DataFrame, value: str, title: str = "Normal Q-Q", points: int =
     n = t.agg(F.sum("cnt")).first()[0] or 0
     if n < 3:
         return {}
-    probs = [(i - 0.375) / (n + 0.25) for i in np.unique(np.linspace(1, n, min(n, points)).round().astype(int))]
+    probs = [float((i - 0.375) / (n + 0.25)) for i in np.unique(np.linspace(1, n, min(n, points)).round().astype(int))]
     ys = clean(df, [value]).agg(F.percentile(value, [min(max(p, 0.0), 1.0) for p in probs])).first()[0]
     return dict(title=title, chart_type="qq_plot", traces=[dict(x=[S.norm_ppf(p) for p in probs], y=list(ys))])
 

@@ -212,6 +212,8 @@ LINKS = ("gaussian", "poisson", "binomial", "gamma")
 
 def irls(df: DataFrame, y: str, features: Sequence[str], family: str, max_iter: int = 100, tol: float = 1e-8) -> dict:
     """Iteratively reweighted least squares on standardised features, one aggregate a step over the cached columns."""
+    if family not in LINKS:
+        raise ValueError(f"unknown family {family}; one of {LINKS}")
     rows = clean(df, [*features, y]).cache()
     st = rows.agg(F.count("*").alias("n"), F.avg(y).alias("my"), *(f(c).alias(f"{t}{i}") for i, c in enumerate(features) for t, f in (("m", F.avg), ("s", F.stddev_pop)))).first().asDict()
     means, sds = (np.array([st[f"{t}{i}"] for i in range(len(features))]) for t in ("m", "s"))
