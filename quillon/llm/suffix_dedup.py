@@ -148,13 +148,14 @@ def window_owners(text: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> np.
     return out
 
 
-_HEAD = [("uid", np.int64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint8)]
+_HEAD = [("uid", np.int64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint8), ("part", np.uint8)]  # part: bits of the anchor by which a bucket is taken apart again
+PART_BYTES = 1 << 20  # segment text that is sorted at a time, unless one part alone has more
 
 
-def _pack(uid, doc, start, count, data, first) -> bytes:
+def _pack(uid, doc, start, count, part, data, first) -> bytes:
     size = count + WINDOW - 1
     body = data[spread(first, size)].tobytes()
-    head = b"".join(c.astype(t).tobytes() for c, (_, t) in zip((uid, doc, start, count), _HEAD, strict=True))
+    head = b"".join(c.astype(t).tobytes() for c, (_, t) in zip((uid, doc, start, count, part), _HEAD, strict=True))
     return np.int64(len(uid)).tobytes() + head + body
 
 
@@ -167,8 +168,8 @@ def _segments(raws: list[bytes]) -> tuple:
             at += n * np.dtype(t).itemsize
         heads.append(cols)
         bodies.append(np.frombuffer(raw, np.uint8, offset=at))
-    uid, doc, start, count = (np.concatenate(c) for c in zip(*heads, strict=True))
-    return uid, doc, start, count.astype(np.int64), np.concatenate(bodies)
+    uid, doc, start, count, part = (np.concatenate(c) for c in zip(*heads, strict=True))
+    return uid, doc, start, count.astype(np.int64), part, np.concatenate(bodies)
 
 
 def distinct_segments(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +180,23 @@ def distinct_segments(data: np.ndarray, first: np.ndarray, size: np.ndarray) ->
 
 
 def kernel(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    uid, doc, start, count, body = _segments(raws)
+    """Marks of a bucket. Equal windows have one anchor, so parts of the anchors can be taken one after the other."""
+    uid, doc, start, count, part, body = _segments(raws)
     size = count + WINDOW - 1
     first = np.cumsum(size) - size
+    parts = min(256, 1 + len(body) // PART_BYTES)
+    out = []
+    for p in range(parts):
+        i = np.flatnonzero(part % parts == p)
+        if len(i):
+            out.append(_marks(uid[i], doc[i], start[i], count[i], body, first[i]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _marks(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, body: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    size = count + WINDOW - 1
+    body = body[spread(first, size)]
+    first = np.cumsum(size) - size
     one, which = distinct_segments(body, first, size)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
@@ -239,7 +254,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         by = np.argsort(bucket, kind="stable")
         stay, bucket = stay[by], bucket[by].astype(np.int64)
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-        packed = [_pack(uid[s], doc[s], start[s], count[s], data, first[s]) for s in np.split(stay, cuts[1:])]
+        part = ((key >> U64(48)) & U64(255)).astype(np.uint8)
+        packed = [_pack(uid[s], doc[s], start[s], count[s], part[s], data, first[s]) for s in np.split(stay, cuts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(np.zeros(len(cuts), bool)), pa.array(packed, pa.binary())], ["bucket", "sure", "packed"])
 
     sent = map_batches(attach(rows, repeated_anchors(rows, anchors)), send, BLOCK_SCHEMA)
