@@ -24,7 +24,7 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     Equal p-values share their largest rank, which gives the same adjusted values as any order of them.
     """
     t = value_table(df, p)
-    m = t.agg(F.sum("cnt").alias("_m"))
+    m = clean(df, [p]).agg(F.count("*").alias("_m"))
     r = t.crossJoin(F.broadcast(m)).withColumn("_raw", F.col(p) * F.col("_m") / (F.col("before") + F.col("cnt"))).withColumn("_b", F.floor(F.col(p) * 128))
     low = r.groupBy("_b").agg(F.min("_raw").alias("_low"))
     after = low.select("_b", F.min("_low").over(Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))  # at most 129 rows
@@ -37,7 +37,7 @@ def benjamini_hochberg(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
 def holm_bonferroni(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     """df with adjusted_p (step-down running maximum of (m - rank + 1) p) and significant."""
     t = value_table(df, p)
-    m = t.agg(F.sum("cnt").alias("_m"))
+    m = clean(df, [p]).agg(F.count("*").alias("_m"))
     r = t.crossJoin(F.broadcast(m)).withColumn("_raw", F.col(p) * (F.col("_m") - F.col("before"))).withColumn("_b", F.floor(F.col(p) * 128))
     top = r.groupBy("_b").agg(F.max("_raw").alias("_top"))
     ahead = top.select("_b", F.max("_top").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))

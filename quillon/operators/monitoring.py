@@ -120,7 +120,7 @@ def psi_severity(psi: float) -> str:
 def conformal_qhat(scores: DataFrame, score: str, alpha: float) -> float:
     """The ceil((n + 1)(1 - alpha))-th smallest score, read off the value table."""
     t = value_table(scores, score)
-    n = t.agg(F.sum("cnt")).first()[0]
+    n = clean(scores, [score]).count()
     need(bool(n), "no calibration scores")
     k = min(max(math.ceil((n + 1) * (1 - alpha)) - 1, 0), n - 1)
     return float(t.filter((F.col("before") <= k) & (F.col("before") + F.col("cnt") > k)).first()[score])
