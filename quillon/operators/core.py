@@ -356,3 +356,27 @@ def sample_views(df: DataFrame, value: str, group: str | None = None, title: str
     if group is not None and df.select(group).distinct().count() >= 2:
         return box_views(df, value, group, title)
     return histogram_views(df, value, title)
+
+
+def cohens_d_one_sample(df: DataFrame, value: str, mu: float = 0.0, by: Sequence[str] = ()) -> DataFrame:
+    """(mean - mu) / sd; null where the deviation is zero or fewer than 2 values are there."""
+    d = F.when(F.stddev_samp(value) > 0, (F.avg(value) - F.lit(mu)) / F.stddev_samp(value))
+    return clean(df, [value], by=by).groupBy(*by).agg(d.alias("cohens_d"))
+
+
+def cohens_d_two_sample(df: DataFrame, value: str, group: str, pooled: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    from quillon.functions.effects import pooled_sd
+
+    def close(r):
+        a, b = dicts(r["g"])
+        sd = pooled_sd(a["n"], a["var"], b["n"], b["var"]) if pooled else math.sqrt((a["var"] + b["var"]) / 2)
+        return dict(cohens_d=(a["mean"] - b["mean"]) / sd if sd > 0 else 0.0)
+
+    return finish(group_stats(df, value, group, by), by, close, "cohens_d double")
+
+
+def cohens_d_paired(df: DataFrame, x1: str, x2: str, by: Sequence[str] = ()) -> DataFrame:
+    """mean / sd of the differences; without spread 0, or infinite with the mean's sign."""
+    rows = clean(df, [x1, x2], by=by).withColumn("_d", F.col(x1) - F.col(x2))
+    m, s = F.avg("_d"), F.stddev_samp("_d")
+    return rows.groupBy(*by).agg(F.when(s > 0, m / s).when(m == 0, 0.0).otherwise(F.signum(m) * F.lit(math.inf)).alias("cohens_d"))

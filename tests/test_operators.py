@@ -270,3 +270,16 @@ def test_entry_without_text_operators(monkeypatch):
 
     monkeypatch.setattr(e, "llm", None)
     assert "ttest_welch" in e.queries() and not any(k.startswith("op") for k in e.queries()) and "pipeline" not in e.oracle_sql()
+
+
+def test_calibrate(spark):
+    from quillon.calibration import calibrate
+
+    assert not [r for r in calibrate(spark).collect() if not r["passed"]]
+
+
+def test_cohens_d(spark):
+    g = groups(spark, a=range(10, 18), b=range(18, 26))
+    assert one(core.cohens_d_two_sample(g, "value", "group"))["cohens_d"] == pytest.approx(-8 / math.sqrt(6))
+    assert one(core.cohens_d_one_sample(g.filter("group = 'a'"), "value", 13.5))["cohens_d"] == 0
+    assert one(core.cohens_d_paired(spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "x double, y double"), "x", "y"))["cohens_d"] == 0
