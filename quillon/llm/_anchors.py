@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._base import U64, map_batches, mix, partitions, text_slices
+from quillon.llm._base import U64, map_batches, mix, partitions, release_freed_memory, small_batches, text_slices
 
 SPREAD = 2  # buckets per partition; every task writes a row per bucket it has entries for
 FLUSH = 300_000  # entries a map task gathers before it writes its blocks
@@ -27,6 +27,7 @@ FLUSH = 300_000  # entries a map task gathers before it writes its blocks
 
 def with_uid(docs: DataFrame) -> DataFrame:
     """doc_id, text (null as empty), uid; a null doc_id counts as the largest."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.withColumn("uid", F.xxhash64("doc_id", "text"))
 
@@ -73,6 +74,7 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
     kinds = [np.uint32, np.uint32, np.uint32]  # hash, uid32, ordinal
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_freed_memory()
         held, size = [], 0
         for batch in batches:
             for part in text_slices(batch):
@@ -100,6 +102,7 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
         yield from blocks((found[first] >> U64(32)).astype(np.int64) % buckets, [found[first].astype(np.uint32), uid[first], ordinal[first]], False)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_freed_memory()
         by_bucket: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, sure, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sure", "packed")), strict=True):
@@ -153,6 +156,7 @@ def meet_and_return(sent: DataFrame, kernel: Callable[[list[bytes]], tuple[np.nd
     kinds = [np.int64, np.uint32, np.uint64]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_freed_memory()
         by_bucket: dict[int, list[bytes]] = {}
         for batch in batches:
             for bucket, sure, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sure", "packed")), strict=True):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,6 +57,22 @@ def partitions(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold at most `rows` rows, so that JVM and worker buffers stay small beside the arrays built from them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release_freed_memory() -> None:
+    """In a worker: have large arrays mapped, and so given back, one by one; freed heap otherwise stays with a reused worker."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "mallopt"):
+        libc.mallopt(-3, 1 << 17)  # M_MMAP_THRESHOLD
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

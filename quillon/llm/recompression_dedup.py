@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_uid
-from quillon.llm._base import U64, map_batches, mix, partitions, spread, table, text_bytes, text_slices, window_hashes, words_of
+from quillon.llm._base import U64, map_batches, mix, partitions, release_freed_memory, spread, table, text_bytes, text_slices, window_hashes, words_of
 from quillon.llm.suffix_dedup import sliding_least
 
 WINDOW = 20
@@ -176,6 +176,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
     buckets = parts * SPREAD
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_freed_memory()
         held, size = [], 0
         for batch in batches:
             for part in text_slices(batch):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_uid
-from quillon.llm._base import BYTE_CODE, U64, map_batches, partitions, range_hashes, spread, table, text_bytes, text_slices
+from quillon.llm._base import BYTE_CODE, U64, map_batches, partitions, range_hashes, release_freed_memory, spread, table, text_bytes, text_slices
 
 WINDOW = 50
 GRAM = 16
@@ -225,6 +225,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     buckets = parts * SPREAD
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_freed_memory()
         held, size = [], 0
         for batch in batches:
             for part in text_slices(batch):
