@@ -26,10 +26,10 @@ FLUSH = 300_000  # entries a map task gathers before it writes its blocks
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null as empty), uid; a null doc_id counts as the largest."""
+    """doc_id, text (null as empty), uid, uid32 (its low half); a null doc_id counts as the largest."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.withColumn("uid", F.xxhash64("doc_id", "text"))
+    return rows.withColumn("uid", F.xxhash64("doc_id", "text")).withColumn("uid32", F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def order_ids(column: pa.Array) -> np.ndarray:
@@ -142,8 +142,13 @@ def repeated_anchors(docs: DataFrame, anchors: Callable[[pa.Array], tuple[np.nda
 
 def attach(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Documents that have repeated anchors, with their ordinals."""
-    rows = docs.withColumn("uid32", F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return rows.join(found, "uid32").select("doc_id", "uid", "text", "ordinals")
+    return docs.join(found, "uid32").select("doc_id", "uid", "text", "ordinals")
+
+
+def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Every document with its marks, if any. Dealt by uid32 like attach(), so that Spark reuses that exchange of the texts; uids are compared row by row."""
+    found = marks.select(F.col("uid").alias("_uid"), F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_uid32"), "marks")
+    return docs.join(found, (F.col("uid32") == F.col("_uid32")) & ((F.col("uid") - F.col("_uid")) == 0), "left").drop("_uid", "_uid32")
 
 
 def meet_and_return(sent: DataFrame, kernel: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:

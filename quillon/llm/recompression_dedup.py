@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_uid
+from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_marks, with_uid
 from quillon.llm._base import U64, map_batches, mix, partitions, release_freed_memory, spread, table, text_bytes, text_slices, window_hashes, words_of
 from quillon.llm.suffix_dedup import sliding_least
 
@@ -215,7 +215,7 @@ def repeated_words(docs: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(bucket[stay][cuts]), pa.array(np.zeros(len(cuts), bool)), pa.array(packed, pa.binary())], ["bucket", "sure", "packed"])
 
     sent = map_batches(attach(rows, repeated_anchors(rows, anchors)), send, BLOCK_SCHEMA)
-    return rows.join(meet_and_return(sent, kernel), "uid", "left")
+    return with_marks(rows, meet_and_return(sent, kernel))
 
 
 def _flagged(part: pa.RecordBatch) -> tuple:

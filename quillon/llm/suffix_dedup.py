@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_uid
+from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_marks, with_uid
 from quillon.llm._base import BYTE_CODE, U64, map_batches, partitions, range_hashes, release_freed_memory, spread, table, text_bytes, text_slices
 
 WINDOW = 50
@@ -261,7 +261,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
 
     sent = map_batches(attach(rows, repeated_anchors(rows, anchors)), send, BLOCK_SCHEMA)
     marks = meet_and_return(sent, kernel)
-    return rows.join(marks, "uid", "left")
+    return with_marks(rows, marks)
 
 
 def _flagged(part: pa.RecordBatch) -> tuple:
