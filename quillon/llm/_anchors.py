@@ -148,7 +148,7 @@ def attach(docs: DataFrame, found: DataFrame) -> DataFrame:
 def with_marks(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """Every document with its marks, if any. Dealt by uid32 like attach(), so that Spark reuses that exchange of the texts; uids are compared row by row."""
     found = marks.select(F.col("uid").alias("_uid"), F.col("uid").bitwiseAND(F.lit(0xFFFFFFFF)).alias("_uid32"), "marks")
-    return docs.join(found, (F.col("uid32") == F.col("_uid32")) & ((F.col("uid") - F.col("_uid")) == 0), "left").drop("_uid", "_uid32")
+    return docs.join(found, (F.col("uid32") == F.col("_uid32")) & (F.col("uid").bitwiseXOR(F.col("_uid")) == 0), "left").drop("_uid", "_uid32")
 
 
 def meet_and_return(sent: DataFrame, kernel: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
