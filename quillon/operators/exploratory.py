@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import special as S
 from quillon.operators.parametric import need
-from quillon.plans.stats import clean, dicts, finish, finite, frame, gram, group_stats, num, unpack_gram
+from quillon.plans.stats import clean, dicts, finish, finite, frame, gram, group_stats, num, unpack_gram, value_table
 
 
 def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -32,50 +32,80 @@ def describe(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return full.select(*by, "n", "n_missing", "mean", "std", (F.col("std") / F.sqrt("n")).alias("se_mean"), "variance", q2.alias("median"), "mode", q1.alias("q1"), q3.alias("q3"), (q3 - q1).alias("iqr"), "min", "max", (F.col("max") - F.col("min")).alias("range"), "skewness", "kurtosis", F.when(F.col("mean") != 0, 100 * F.col("std") / F.abs("mean")).alias("cv"), "n_outliers", F.concat(skewed, tails).alias("shape_description"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, statistic: str = "mean", ci_level: float = 0.95, n_bootstrap: int = 10_000, seed: int = 42, exact_up_to: int = 100_000) -> DataFrame:
-    """Percentile bootstrap. Up to `exact_up_to` values the sample is broadcast and replicates are spread over tasks.
+CHUNK = 4096  # places of the sorted sample that are drawn together
+BLOCK = 500  # replicates that share a random stream
 
-    Beyond that the replicates are drawn from the value table: every distinct value of a range-compressed table of
-    2,000 quantile cells gets a multinomial count, so the data never leave the cluster.
+
+def bootstrap_ci(df: DataFrame, value: str, statistic: str = "mean", ci_level: float = 0.95, n_bootstrap: int = 10_000, seed: int = 42) -> DataFrame:
+    """Percentile bootstrap, one form at every size: each replicate draws n of all n values with replacement.
+
+    The sorted sample is cut into chunks of CHUNK places (a value with its count spans several where need be). How
+    many of a replicate's draws fall into a chunk comes from binomial splits down a tree over the chunks, whose
+    streams every task can repeat; inside a chunk places are drawn evenly, so the replicates are exactly multinomial.
+    Each statistic is a mean of the replicate's ranks from lo to hi (or of squares), which chunks add up by themselves.
     """
-    rows = clean(df, [value])
-    n = rows.count()
+    need(statistic in ("mean", "median", "std", "trimmed_mean"), f"unknown statistic {statistic}")
+    rows = clean(df, [value]).select((F.col(value) + F.lit(0.0)).alias(value))  # an expression: value_table joins with itself
+    n, centre = rows.agg(F.count("*"), F.avg(value)).first()
     need(n >= 2, "at least 2 observations are needed")
-    if n <= exact_up_to:
-        x, w = np.sort(np.array([r[0] for r in rows.select(value).collect()])), None
-    else:
-        x = np.array(rows.agg(F.percentile_approx(value, [(i + 0.5) / 2000 for i in range(2000)], 20_000)).first()[0])
-        w = n
-    fns = {"mean": lambda a: a.mean(-1), "median": lambda a: np.median(a, -1), "std": lambda a: a.std(-1, ddof=1), "trimmed_mean": trimmed}
-    need(statistic in fns, f"unknown statistic {statistic}")
-    fn = fns[statistic]
+    cut = int(0.1 * n)
+    lo, hi = {"median": ((n - 1) // 2, n // 2 + 1), "trimmed_mean": (cut, n - cut)}.get(statistic, (0, n))
+    size, block = CHUNK, BLOCK
+    chunks, blocks = -(-n // size), -(-n_bootstrap // block)
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((x, w))
-    block = max(1, min(500, 2_000_000 // len(x)))
+    slots = spark.sparkContext.defaultParallelism
+    parts = min(blocks, -(-4 * slots // chunks))  # replicates are dealt out too while chunks are few
+    t = value_table(rows, value).select(F.col(value).alias("x"), "cnt", "before", F.explode(F.sequence(F.floor(F.col("before") / size), F.floor((F.col("before") + F.col("cnt") - 1) / size))).alias("c"))
+    held = t.select("c", "x", (F.least(F.col("before") + F.col("cnt"), (F.col("c") + 1) * size) - F.greatest("before", F.col("c") * size)).alias("k"))
+    held = held.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("x", "k"))).alias("v")).select("c", F.col("v.x").alias("x"), F.col("v.k").alias("k"))
+    tasks = held.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(1, min(chunks * parts, 4 * slots), chunks // 256))
+
+    def share(c: int, b: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of block b's m replicates: draws before chunk c, draws in it."""
+        first, last, before, count = 0, chunks, np.zeros(m, np.int64), np.full(m, n, np.int64)
+        while last - first > 1:
+            mid = (first + last) // 2
+            left = np.random.default_rng([seed, 0, b, first, last]).binomial(count, (mid - first) * size / (min(last * size, n) - first * size))
+            if c < mid:
+                last, count = mid, left
+            else:
+                first, before, count = mid, before + left, count - left
+        return before, count
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, large = shared.value
+        total: dict[int, np.ndarray] = {}
         for part in frames:
-            for b in part["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                m = min(block, n_bootstrap - int(b) * block)
-                if large is None:
-                    out = fn(data[rng.integers(0, len(data), (m, len(data)))])
-                else:
-                    counts = rng.multinomial(large, np.full(len(data), 1 / len(data)), m)
-                    out = np.array([fn(np.repeat(data, c * len(data) // large + (rng.random(len(data)) < c * len(data) / large % 1))) for c in counts])
-                yield pd.DataFrame({"s": out})
-
-    tasks = spark.range(-(-n_bootstrap // block))
-    lo, hi = (1 - ci_level) / 2, (1 + ci_level) / 2
-    stats = tasks.mapInPandas(run, "s double").agg(F.percentile("s", [lo, hi]).alias("q"))
-    return finish(stats, (), lambda r: dict(statistic=statistic, estimate=float(fn(x)), ci_lower=r["q"][0], ci_upper=r["q"][1], ci_level=ci_level, n_bootstrap=n_bootstrap, method="percentile"), "statistic string, estimate double, ci_lower double, ci_upper double, ci_level double, n_bootstrap long, method string")
-
-
-def trimmed(a: np.ndarray, share: float = 0.1) -> np.ndarray:
-    a = np.sort(a, -1)
-    k = int(share * a.shape[-1])
-    return a[..., k : a.shape[-1] - k].mean(-1)
+            for r in part.itertuples(index=False):
+                x = np.repeat(np.asarray(r.x, float), np.asarray(r.k, np.int64)) - centre
+                powers = np.stack([x, x * x])
+                if r.part == 0:  # the sample itself, as replicate -1
+                    at = np.arange(len(x)) + r.c * size
+                    total[-1] = total.get(-1, 0) + powers[:, (at >= lo) & (at < hi)].sum(1)[:, None]
+                for b in range(r.part, blocks, parts):
+                    m = min(block, n_bootstrap - b * block)
+                    before, count = share(r.c, b, m)
+                    sums = total.setdefault(b, np.zeros((2, m)))
+                    count = np.where((before < hi) & (before + count > lo), count, 0)  # the others add nothing
+                    live = np.flatnonzero(count)
+                    if not len(live):
+                        continue
+                    drawn = np.random.default_rng([seed, 1, b, r.c]).integers(0, len(x), count.sum())
+                    w = np.bincount(np.repeat(np.arange(len(live)) * len(x), count[live]) + drawn, minlength=len(live) * len(x)).reshape(len(live), len(x))
+                    edge = np.flatnonzero((before[live] < lo) | (before[live] + count[live] > hi))
+                    run_ = w[edge].cumsum(1) + before[live][edge, None]
+                    w[edge] = np.clip(run_, lo, hi) - np.clip(run_ - w[edge], lo, hi)
+                    sums[:, live] += powers @ w.T
+        for b, sums in total.items():
+            yield pd.DataFrame({"b": b * block + np.arange(sums.shape[1]), "s1": sums[0], "s2": sums[1]})
+
+    per = tasks.mapInPandas(run, "b long, s1 double, s2 double").groupBy("b").agg(F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    if statistic == "std":
+        stat = F.sqrt(F.greatest(F.lit(0.0), F.col("s2") - F.col("s1") * F.col("s1") / n) / (n - 1))
+    else:
+        stat = F.col("s1") / (hi - lo) + F.lit(centre)
+    low, high = (1 - ci_level) / 2, (1 + ci_level) / 2
+    stats = per.select("b", stat.alias("s")).agg(F.percentile(F.expr("if(b >= 0, s, null)"), [low, high]).alias("q"), F.max(F.expr("if(b < 0, s, null)")).alias("e"))
+    return finish(stats, (), lambda r: dict(statistic=statistic, estimate=r["e"], ci_lower=r["q"][0], ci_upper=r["q"][1], ci_level=ci_level, n_bootstrap=n_bootstrap, method="percentile"), "statistic string, estimate double, ci_lower double, ci_upper double, ci_level double, n_bootstrap long, method string")
 
 
 def tolerance_interval(df: DataFrame, value: str, coverage: float = 0.95, confidence: float = 0.95, method: str = "normal", by: Sequence[str] = ()) -> DataFrame:

@@ -382,7 +382,7 @@ def _(spark, d):
 
 # --- exploratory, quality, measurement ---------------------------------------------------------------------
 
-_reg("bootstrap_mean", lambda s, d: exploratory.bootstrap_ci(t(s, d, "customer"), "c_acctbal", n_bootstrap=2000), 3)
+_reg("bootstrap_mean", lambda s, d: exploratory.bootstrap_ci(t(s, d, "customer"), "c_acctbal"), 3)
 _reg("multi_vari", lambda s, d: exploratory.multi_vari(t(s, d, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"]))
 _reg("pca_lineitem", lambda s, d: exploratory.pca(t(s, d, "lineitem"), LI), 5)
 _reg("hotelling", lambda s, d: exploratory.hotelling_t2_one_sample(t(s, d, "lineitem"), ["l_quantity", "l_discount"], [25.0, 0.05]), 5)

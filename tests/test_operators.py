@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,6 +150,34 @@ def test_bayes_exploratory_power(spark):
     assert one(quality.attribute_plan(spark))["acceptance_number"] >= 1
 
 
+def test_bootstrap_is_one_form_at_every_size(spark):
+    """Intervals of 150,000 lognormal values, many of them in several chunks, against the theory of the whole sample."""
+    x = np.round(np.random.default_rng(7).lognormal(0, 1.5, 150_000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"value": x}))
+    n, s = len(x), np.sort(x)
+    se = x.std() / math.sqrt(n)
+    cut = s[n // 10 : n - n // 10]
+    wins = np.clip(s, cut[0], cut[-1])
+    d = x - x.mean()
+    expected = {"mean": (x.mean(), se), "median": (np.median(x), None), "std": (x.std(ddof=1), math.sqrt(((d**4).mean() - x.var() ** 2) / n) / (2 * x.std())), "trimmed_mean": (cut.mean(), wins.std() / 0.8 / math.sqrt(n))}
+    for statistic, (estimate, error) in expected.items():
+        b = one(exploratory.bootstrap_ci(df, "value", statistic, n_bootstrap=600))
+        assert b["estimate"] == pytest.approx(estimate, rel=1e-9) and b["ci_lower"] <= estimate <= b["ci_upper"]
+        if error:
+            assert (b["ci_upper"] - b["ci_lower"]) / (2 * 1.96 * error) == pytest.approx(1, abs=0.2)
+    q = s[[round(n / 2 - 0.98 * math.sqrt(n)), round(n / 2 + 0.98 * math.sqrt(n))]]
+    b = one(exploratory.bootstrap_ci(df, "value", "median", n_bootstrap=600))
+    assert [b["ci_lower"], b["ci_upper"]] == pytest.approx(list(q), abs=0.011)
+
+
+def test_bootstrap_small_sample(spark):
+    """All of a tiny sample's replicates are known: of (0, 1) a quarter have mean 0, a half 0.5."""
+    df = spark.createDataFrame([(0.0,), (1.0,)], "value double")
+    b = one(exploratory.bootstrap_ci(df, "value", ci_level=0.4))
+    assert (b["estimate"], b["ci_lower"], b["ci_upper"], b["n_bootstrap"]) == (0.5, 0.5, 0.5, 10_000)
+    assert one(exploratory.bootstrap_ci(df, "value"))["ci_lower"] == 0
+
+
 def test_reliability(spark, rng):
     km = one(reliability.survival_summary(spark.createDataFrame([(float(x),) for x in [5, 10, 10, 15, 20, 25, 30]], "t double"), "t"))
     assert km["median_survival"] == 15 and km["n_events"] == 7
