@@ -80,23 +80,29 @@ def linearity_bias(df: DataFrame, reference: str, measured: str) -> DataFrame:
 
 
 def crossed_gage_rr(df: DataFrame, value: str, part: str, operator: str) -> DataFrame:
-    """Balanced crossed study by expected mean squares; percentages of variance."""
+    """Crossed study by expected mean squares; percentages of variance.
+
+    Cells of unlike sizes enter by their means, weighted alike, with the harmonic mean of the sizes as replicates
+    (unweighted-means analysis); repeatability pools the variances of all rows. Balanced studies give the usual form.
+    """
 
     def close(r):
         whole, P, O, PO = split_cells(dicts(r["cells"]))
-        p, o, n, m = len(P), len(O), whole["n"], whole["mean"]
-        reps = n // (p * o)
-        need(reps >= 2, "replicates are needed")
-        ssp = sum(c["n"] * (c["mean"] - m) ** 2 for c in P.values())
-        sso = sum(c["n"] * (c["mean"] - m) ** 2 for c in O.values())
-        ssc = sum(c["n"] * (c["mean"] - m) ** 2 for c in PO.values())
-        ssi, sse = ssc - ssp - sso, whole["var"] * n - ssc
-        msp, mso, msi, mse = ssp / max(p - 1, 1), sso / max(o - 1, 1), ssi / max((p - 1) * (o - 1), 1), sse / (p * o * (reps - 1))
+        p, o, n = len(P), len(O), whole["n"]
+        need(len(PO) == p * o, "every operator has to measure every part")
+        need(n > p * o, "replicates are needed")
+        reps = p * o / sum(1 / c["n"] for c in PO.values())
+        mp, mo = ({k: np.mean([c["mean"] for key, c in PO.items() if key[i] == k]) for k in keys} for i, keys in enumerate((P, O)))
+        m = np.mean([c["mean"] for c in PO.values()])
+        ssp, sso = reps * o * sum((v - m) ** 2 for v in mp.values()), reps * p * sum((v - m) ** 2 for v in mo.values())
+        ssi = reps * sum((c["mean"] - mp[i] - mo[j] + m) ** 2 for (i, j), c in PO.items())
+        sse = sum(c["var"] * c["n"] for c in PO.values())
+        msp, mso, msi, mse = ssp / max(p - 1, 1), sso / max(o - 1, 1), ssi / max((p - 1) * (o - 1), 1), sse / (n - p * o)
         vi, vo, vp = max(0.0, (msi - mse) / reps), max(0.0, (mso - msi) / (p * reps)), max(0.0, (msp - msi) / (o * reps))
         repro, grr = vo + vi, vo + vi + mse
         total = grr + vp
         pct = lambda v: 100 * v / total if total > 0 else 0.0
-        return dict(design="crossed", var_repeatability=mse, var_reproducibility=repro, var_operator=vo, var_interaction=vi, var_part=vp, var_gage_rr=grr, var_total=total, pct_repeatability=pct(mse), pct_reproducibility=pct(repro), pct_gage_rr=pct(grr), pct_part=pct(vp), ndc=int(1.41 * math.sqrt(vp / grr)) if grr > 0 else 0, n_operators=o, n_parts=p, n_replicates=reps, ms_part=msp, ms_operator=mso, ms_interaction=msi, ms_repeatability=mse)
+        return dict(design="crossed", var_repeatability=mse, var_reproducibility=repro, var_operator=vo, var_interaction=vi, var_part=vp, var_gage_rr=grr, var_total=total, pct_repeatability=pct(mse), pct_reproducibility=pct(repro), pct_gage_rr=pct(grr), pct_part=pct(vp), ndc=int(1.41 * math.sqrt(vp / grr)) if grr > 0 else 0, n_operators=o, n_parts=p, n_replicates=n // (p * o), ms_part=msp, ms_operator=mso, ms_interaction=msi, ms_repeatability=mse)
 
     return finish(cells_in_one(df, value, part, operator), (), close, "design string, var_repeatability double, var_reproducibility double, var_operator double, var_interaction double, var_part double, var_gage_rr double, var_total double, pct_repeatability double, pct_reproducibility double, pct_gage_rr double, pct_part double, ndc long, n_operators long, n_parts long, n_replicates long, ms_part double, ms_operator double, ms_interaction double, ms_repeatability double")
 

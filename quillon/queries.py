@@ -441,10 +441,7 @@ CELLS = "first3 AS (SELECT * FROM (SELECT l_linenumber p, l_returnflag o, l_quan
 
 
 def cells(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_linenumber", "l_returnflag").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return t(spark, d, "lineitem").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select(F.col("l_linenumber").alias("p"), F.col("l_returnflag").alias("o"), F.col("l_quantity").alias("y"))
+    return t(spark, d, "lineitem").select(F.col("l_linenumber").alias("p"), F.col("l_returnflag").alias("o"), F.col("l_quantity").alias("y"))
 
 
 @query("gage_rr", "WITH " + CELLS + f", m AS (SELECT avg(y) gm FROM first3), c AS (SELECT p, o, avg(y) m, var_pop(y)*count(*) ss FROM first3 GROUP BY 1,2) SELECT {R('sum(ss)/(count(*)*2)')} AS ms_repeatability, CAST(count(DISTINCT p) AS BIGINT) AS n_parts, CAST(count(DISTINCT o) AS BIGINT) AS n_operators FROM c")

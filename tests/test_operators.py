@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import bayesian, core, exploratory, intelligence, monitoring, msa, nonparametric, parametric, power, quality, regression, reliability, sequential, timeseries
+from quillon.queries import QUERIES
 
 
 def groups(spark, **samples):
@@ -203,6 +204,29 @@ def test_msa(spark):
     assert one(msa.fleiss_kappa(same, "c", "s"))["value"] == 1 and one(msa.krippendorff_alpha(same, "c", "s"))["value"] == 1
 
 
+def test_gage_rr_and_icc_read_every_row(spark, rng, tmp_path):
+    """Cells of unlike sizes, by brute force; the queries' tables have 2 to 40 rows a cell."""
+    rows = [(p, o, float(v)) for p in range(4) for o in "ANR" for v in rng.normal(10 * p + ord(o) % 7, 2, int(rng.integers(2, 40)))]
+    df = spark.createDataFrame(rows, "p int, o string, y double")
+    cell = {}
+    for p, o, y in rows:
+        cell.setdefault((p, o), []).append(y)
+    m = np.array([[np.mean(cell[p, o]) for o in "ANR"] for p in range(4)])
+    nh = 12 / sum(1 / len(v) for v in cell.values())
+    error = sum(((np.array(v) - np.mean(v)) ** 2).sum() for v in cell.values()) / (len(rows) - 12)
+    part, oper = nh * 3 * m.mean(1).var(ddof=1), nh * 4 * m.mean(0).var(ddof=1)
+    inter = nh * ((m - m.mean(1)[:, None] - m.mean(0) + m.mean()) ** 2).sum() / 6
+    g = one(msa.crossed_gage_rr(df, "y", "p", "o"))
+    assert [g[k] for k in ("ms_part", "ms_operator", "ms_interaction", "ms_repeatability")] == pytest.approx([part, oper, inter, error])
+    assert g["var_part"] == pytest.approx(max(0, (part - inter) / (3 * nh))) and g["var_interaction"] == pytest.approx(max(0, (inter - error) / nh))
+    with pytest.raises(Exception):
+        msa.crossed_gage_rr(df.filter("p > 0 OR o <> 'A'"), "y", "p", "o").collect()
+    df.withColumn("id", F.monotonically_increasing_id()).selectExpr("p l_linenumber", "o l_returnflag", "y l_quantity", "id l_orderkey", "id l_partkey", "id l_suppkey", "y l_extendedprice").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert one(QUERIES["gage_rr"](spark, str(tmp_path)))["ms_repeatability"] == pytest.approx(error, abs=1e-6)
+    msr, mse = 3 * m.mean(1).var(ddof=1), inter / nh
+    assert one(QUERIES["icc"](spark, str(tmp_path)))["f_statistic"] == pytest.approx(msr / mse, abs=1e-5)
+
+
 def test_series(spark, rng, monkeypatch):
     monkeypatch.setattr(timeseries, "BLOCK", 64)  # several blocks even here
     x = rng.normal(size=200)
