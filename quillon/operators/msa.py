@@ -159,14 +159,17 @@ def krippendorff_alpha(df: DataFrame, value: str, unit: str, level: str = "nomin
 
 
 def fleiss_kappa(df: DataFrame, category: str, subject: str) -> DataFrame:
-    """Every subject must have the same number of ratings."""
+    """Agreement is taken per subject over its own number of ratings and averaged, chance from all ratings pooled.
+
+    With equal numbers this is the usual kappa. A subject with one rating has no pair: it counts in the pool alone.
+    """
     per = df.filter(F.col(category).isNotNull()).groupBy(subject, category).agg(F.count("*").cast("double").alias("_c"))
     subj = per.groupBy(subject).agg(F.sum("_c").alias("m"), F.sum(F.col("_c") * F.col("_c")).alias("cc"))
-    s = subj.agg(F.count("*").alias("N"), F.min("m").alias("lo"), F.max("m").alias("m"), F.avg((F.col("cc") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("po"))
+    s = subj.agg(F.count("*").alias("N"), F.max("m").alias("m"), F.avg(F.when(F.col("m") > 1, (F.col("cc") - F.col("m")) / (F.col("m") * (F.col("m") - 1)))).alias("po"))
     cats = per.groupBy(category).agg(F.sum("_c").alias("_c")).agg(F.sum("_c").alias("t"), F.sum(F.col("_c") * F.col("_c")).alias("tt"))
 
     def close(r):
-        need(r["lo"] == r["m"], "every subject needs the same number of ratings")
+        need(r["m"] is not None and r["m"] > 1, "a subject with at least 2 ratings is needed")
         pe = r["tt"] / r["t"] ** 2
         k = (r["po"] - pe) / (1 - pe) if pe < 1 else 1.0
         return dict(method="Fleiss' kappa", value=k, n_subjects=r["N"], n_raters=r["m"], interpretation=interpret_agreement(k))

@@ -460,10 +460,7 @@ _reg("linearity_bias", lambda s, d: msa.linearity_bias(t(s, d, "lineitem").selec
 
 @query("fleiss", "WITH f AS (SELECT user_id u, (event_id % 3) c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) rn FROM events), p AS (SELECT u, c, count(*)+0.0 n FROM f WHERE rn <= 10 GROUP BY 1,2), s AS (SELECT u, (sum(n*n)-10)/90 pi FROM p GROUP BY 1), q AS (SELECT sum(pow(t,2))/pow(sum(t),2) pe FROM (SELECT c, sum(n) t FROM p GROUP BY 1)) " + f"SELECT {R('(avg(pi)-max(pe))/(1-max(pe))')} AS value, CAST(count(*) AS BIGINT) AS n_subjects FROM s, q")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    e = t(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))).filter("rn <= 10")
-    return msa.fleiss_kappa(e.select("user_id", (F.col("event_id") % 3).alias("c")), "c", "user_id").select("value", "n_subjects")
+    return msa.fleiss_kappa(t(spark, d, "events").select("user_id", (F.col("event_id") % 3).alias("c")), "c", "user_id").select("value", "n_subjects")
 
 
 @query("krippendorff", "WITH c AS (SELECT user_id u, (event_id % 3) v, count(*)+0.0 n FROM events GROUP BY 1,2), s AS (SELECT u, sum(n) m, pow(sum(n),2)-sum(n*n) d FROM c GROUP BY 1 HAVING sum(n) > 1), p AS (SELECT v, sum(n) n FROM c WHERE u IN (SELECT u FROM s) GROUP BY 1) " + f"SELECT {R('1-(SELECT sum(d)/sum(m*(m-1)) FROM s)/((pow(sum(n),2)-sum(n*n))/(sum(n)*(sum(n)-1)))')} AS value FROM p")

@@ -227,6 +227,20 @@ def test_gage_rr_and_icc_read_every_row(spark, rng, tmp_path):
     assert one(QUERIES["icc"](spark, str(tmp_path)))["f_statistic"] == pytest.approx(msr / mse, abs=1e-5)
 
 
+def test_fleiss_rates_every_row(spark, tmp_path):
+    """Subjects with 1 to 60 ratings, by brute force over pairs."""
+    rows = [(u, 7 * u * k + k * k) for u in range(8) for k in range([1, 2, 3, 5, 12, 20, 40, 60][u])]
+    spark.createDataFrame(rows, "user_id long, event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    by = {}
+    for u, e in rows:
+        by.setdefault(u, []).append(e % 3)
+    agree = [np.mean([a == b for i, a in enumerate(v) for j, b in enumerate(v) if i != j]) for v in by.values() if len(v) > 1]
+    pool = np.bincount([e % 3 for _, e in rows]) / len(rows)
+    chance = (pool**2).sum()
+    r = one(QUERIES["fleiss"](spark, str(tmp_path)))
+    assert r["value"] == pytest.approx((np.mean(agree) - chance) / (1 - chance), abs=1e-6) and r["n_subjects"] == 8
+
+
 def test_series(spark, rng, monkeypatch):
     monkeypatch.setattr(timeseries, "BLOCK", 64)  # several blocks even here
     x = rng.normal(size=200)
