@@ -291,6 +291,14 @@ def test_page_hinkley_and_eprocess_match_loops(spark, rng, monkeypatch):
     assert np.allclose([r["log_e"] for r in h], -0.5 * np.log1p(t) + s**2 / (2 * (1 + t)))
 
 
+def test_conformal_calibrates_on_every_event(spark, tmp_path):
+    """Odd events lie farther out than even ones, so half the table would give another quantile."""
+    values = [50.0 + i if i % 2 else 50.0 + i / 100 for i in range(200)]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    scores = sorted(abs(v - 50) for v in values)
+    assert one(QUERIES["conformal"](spark, str(tmp_path)))["qhat"] == pytest.approx(scores[math.ceil(201 * 0.9) - 1])
+
+
 def test_drift_conformal_corrections(spark, rng):
     a, b = series(spark, rng.normal(size=2000)), series(spark, rng.normal(size=2000) + 1)
     assert one(monitoring.compute_psi(a, a, "value"))["psi"] == pytest.approx(0) and one(monitoring.compute_psi(a, b, "value"))["severity"] == "major"
