@@ -3,8 +3,9 @@
 Detected entities (e-mail addresses, phone numbers, payment cards, social security numbers, IPv4 addresses,
 IBANs, names after a title) are replaced by keyed surrogates: a SHA-256 of key, type, canonical form and
 attempt picks every new character, so digits stay digits, letters keep case and script, separators stay,
-cards keep their issuer digit and Luhn state, octets stay octets, names follow the gender of their title and
-their script. One canonical form (case folded, separators dropped) has one surrogate everywhere, and name
+cards keep their issuer digit and Luhn state, phones with a plus their country code, octets stay octets, names follow the gender of their title and
+their script. One canonical form (case folded, separators dropped; a phone's plus stays) has one surrogate
+everywhere, in the format of each place: characters are drawn by their rank among letters and digits. Name
 parts have theirs each, so "Mr. Ann Lee" and "Mr. Lee" still agree.
 
 Distinctness is checked over the whole corpus: a pre-aggregated table of entities is computed, entities whose
@@ -39,6 +40,8 @@ PATTERNS = {
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
     "name": rf"(?<![\p{{L}}0-9])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
 }
+# The country codes of the numbering plan, so that they are found in a number without separators.
+COUNTRY = "^[+](1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 SYLLABLES = {
     "latin": ["bal", "cor", "dan", "fel", "gar", "hol", "jas", "kel", "lor", "mar", "nol", "per", "ros", "sel", "tam", "vel"],
@@ -78,16 +81,23 @@ def _units(mention: str) -> str:
     return (
         f"CASE WHEN {t('email')} THEN {one('email', f'lower({mention})')} WHEN {t('iban')} THEN {one('iban', f'replace({mention}, chr(32), {_quote("")})')} "
         f"WHEN {t('card')} THEN {one('card', digits)} WHEN {t('ssn')} THEN {one('ssn', digits)} WHEN {t('ip')} THEN {one('ip', mention)} "
-        f"WHEN {t('phone')} THEN {one('phone', digits)} ELSE {name} END"
+        f"WHEN {t('phone')} THEN {one('phone', f"regexp_replace({mention}, '[^0-9+]', '')")} ELSE {name} END"
     )
 
 
-def _scrambled(shown: str, seed: str, keep: str = "false") -> str:
-    """SQL: each digit and letter of `shown` replaced in kind, but where `keep` holds for place i (from 0)."""
-    return (
-        f"array_join(transform(split({shown}, ''), (c, i) -> CASE WHEN {keep} THEN c WHEN c rlike '[0-9]' THEN cast({_pick(seed, 'i', 10)} AS string) "
-        f"WHEN c rlike '[a-z]' THEN chr(97 + {_pick(seed, 'i', 26)}) WHEN c rlike '[A-Z]' THEN chr(65 + {_pick(seed, 'i', 26)}) ELSE c END), '')"
+def _scrambled(shown: str, seed: str, keep: str = "false", spaced: bool = False) -> str:
+    """SQL: each digit and letter of `shown` replaced in kind, but where `keep` holds for place i (from 0).
+
+    With `spaced`, draws and `keep` go by `r`, the rank among letters and digits, so that separators change nothing.
+    """
+    at = "r" if spaced else "i"
+    pick = (
+        f"CASE WHEN {keep} THEN c WHEN c rlike '[0-9]' THEN cast({_pick(seed, at, 10)} AS string) "
+        f"WHEN c rlike '[a-z]' THEN chr(97 + {_pick(seed, at, 26)}) WHEN c rlike '[A-Z]' THEN chr(65 + {_pick(seed, at, 26)}) ELSE c END"
     )
+    if spaced:
+        pick = f"element_at(transform(array(length(regexp_replace(substring({shown}, 1, i), '[^0-9A-Za-z]', ''))), r -> {pick}), 1)"
+    return f"array_join(transform(split({shown}, ''), (c, i) -> {pick}), '')"
 
 
 def _let(names: dict[str, str], body: str, var: str) -> str:
@@ -110,25 +120,25 @@ def _surrogate(unit: str, attempt: str, key: str) -> str:
     labels = f"substring({domain}, 1, length({domain}) - length(substring_index({domain}, '.', -1)))"
     email = f"concat({_scrambled(f'substring_index(q.shown, {_quote("@")}, 1)', 'q.seed')}, '@', {_scrambled(labels, host)}, substring_index({domain}, '.', -1))"
     # a card: scramble all but the first digit, then set the last one so that the Luhn sum stays what it was
-    body = _scrambled("substring(q.shown, 1, length(q.shown) - 1)", "q.seed", "i = 0")
+    body = _scrambled("substring(q.shown, 1, length(q.shown) - 1)", "q.seed", "r = 0", spaced=True)
     fix = f"concat(w.body, cast(pmod({_luhn('q.canon')} - {_luhn('concat(regexp_replace(w.body, ' + _quote('[^0-9]') + ', ' + _quote('') + '), ' + _quote('0') + ')')}, 10) AS string))"
     card = _let({"body": body}, fix, "w")
-    code = "length(regexp_extract(q.shown, '^[+][0-9]+', 0))"
-    phone = _let({"code": code}, _scrambled("q.shown", "q.seed", "w.code <= 4 AND i < w.code"), "w")
+    code = f"length(regexp_extract(q.canon, {_quote(COUNTRY)}, 1))"
+    phone = _let({"code": code}, _scrambled("q.shown", "q.seed", "r < w.code", spaced=True), "w")
     ip = f"array_join(transform(sequence(1, 4), i -> cast(1 + {_pick('q.seed', 'i', 254)} AS string)), '.')"
     spelled = lambda script: (  # noqa: E731  more attempts, more syllables
         f"concat(array_join(transform(sequence(1, 2 + q.attempt), i -> element_at({_words(SYLLABLES[script])}, cast(1 + {_pick('q.seed', 'i', 16)} AS int))), ''), "
         f"element_at(CASE q.kind " + " ".join(f"WHEN {_quote(k)} THEN {_words(v)}" for k, v in ENDINGS[script].items()) + f" ELSE array('') END, cast(1 + {_pick('q.seed', '0', 4)} AS int)))"
     )
     person = f"CASE WHEN q.shown rlike '[\\\\p{{IsCyrillic}}]' THEN {spelled('cyrillic')} WHEN q.shown rlike '[\\\\p{{IsGreek}}]' THEN {spelled('greek')} ELSE {spelled('latin')} END"
-    same = _scrambled("q.shown", "q.seed")
-    made = f"CASE q.kind WHEN '' THEN q.shown WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {_scrambled('q.shown', 'q.seed', 'i < 2')} WHEN 'ssn' THEN {same} ELSE initcap({person}) END"
+    same = _scrambled("q.shown", "q.seed", spaced=True)
+    made = f"CASE q.kind WHEN '' THEN q.shown WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {_scrambled('q.shown', 'q.seed', 'r < 2', spaced=True)} WHEN 'ssn' THEN {same} ELSE initcap({person}) END"
     return _let({"kind": f"{unit}.kind", "canon": f"{unit}.canon", "shown": f"{unit}.shown", "attempt": attempt, "seed": seed}, made.replace(host, "q.host"), "q").replace("named_struct('kind'", f"named_struct('host', {host}, 'kind'", 1)
 
 
 def _canonical(unit: str) -> str:
     """SQL: the canonical form that a replacement text has for its kind."""
-    return f"CASE WHEN {unit}.kind IN ('card', 'phone', 'ssn') THEN regexp_replace({unit}.made, '[^0-9]', '') WHEN {unit}.kind = 'iban' THEN replace({unit}.made, chr(32), '') ELSE lower({unit}.made) END"
+    return f"CASE WHEN {unit}.kind IN ('card', 'ssn') THEN regexp_replace({unit}.made, '[^0-9]', '') WHEN {unit}.kind = 'phone' THEN regexp_replace({unit}.made, '[^0-9+]', '') WHEN {unit}.kind = 'iban' THEN replace({unit}.made, chr(32), '') ELSE lower({unit}.made) END"
 
 
 def with_entities(docs: DataFrame, text: str = "text", into: str = "_units") -> DataFrame:

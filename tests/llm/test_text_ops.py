@@ -401,6 +401,24 @@ def test_pii(spark, docs, empty):
     assert pii.without_pii(df).columns == df.columns and pii.replace_pii(empty).count() == 0
 
 
+def test_pii_formats_share_surrogates(spark):
+    """One number written with and without separators has the same surrogate characters in each format."""
+    forms = [
+        ["4485 5803 9239 1139", "4485580392391139", "4485-5803-9239-1139"],
+        ["+49 30 1234 5678", "+493012345678", "+49 (30) 1234-5678"],
+        ["(555) 123-4567", "555-123-4567", "555.123.4567"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ]
+    df = frame(spark, [(10 * k + i, f"no {x}") for k, f in enumerate(forms) for i, x in enumerate(f)])
+    got = {r["doc_id"]: r["text"][3:] for r in pii.without_pii(df).collect()}
+    bare = lambda x: re.sub(r"[^0-9A-Za-z+]", "", x)
+    for k, f in enumerate(forms):
+        made = [got[10 * k + i] for i in range(len(f))]
+        assert len({bare(x) for x in made}) == 1 and bare(made[0]) != bare(f[0])
+        assert [re.sub("[0-9A-Za-z]", "0", x) for x in made] == [re.sub("[0-9A-Za-z]", "0", x) for x in f]
+    assert got[0][0] == "4" and got[10].startswith("+49 ") and got[30].startswith("DE")
+
+
 def test_pii_collisions_are_resolved(spark, monkeypatch):
     """With surrogates crowded into few values, distinct entities still get distinct ones."""
     real = pii._pick
