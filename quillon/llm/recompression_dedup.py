@@ -7,8 +7,9 @@ symbols. Names are hashes of what they stand for, so they agree over the whole c
 symbol's place depends on a few neighbours only: equal word sequences have equal interior symbols. Two
 rounds keep that reach (EXTENT words) within a window; every window takes as its anchor the symbol of least
 name among the highest-level ones that lie inside it with their reach. Anchors that occur once cannot lie in a
-repeat; the windows at shared anchors are verified by the hash of their 20 words, and the first of each
-class by (doc_id, start) stays.
+repeat; the windows at shared anchors travel with their words and are verified word by word (words are named
+by a dictionary where they meet, hashes only find the candidates), and the first of each class by
+(doc_id, start) stays.
 
 Defined cases: null and empty texts have no words; under 20 words nothing is removed; rows that repeat one
 another are answered alike; a null doc_id counts as largest; an empty table gives an empty result.
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_marks, with_uid
+from quillon.llm._anchors import BLOCK_SCHEMA, HOT_LEAST, SPREAD, attach, blocks, covered, expand, from_planes, is_in, meet_and_return, order_ids, ordinals_of, planes, repeated_anchors, squeeze, with_marks, with_uid
 from quillon.llm._base import U64, map_batches, mix, partitions, release_freed_memory, spread, table, text_bytes, text_slices, window_hashes, words_of
 from quillon.llm.suffix_dedup import sliding_least
 
@@ -139,41 +140,65 @@ def pack_marks(uid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return uid[new], start[new].astype(np.uint32), mask
 
 
-def later_copies(name: np.ndarray, doc: np.ndarray, at: np.ndarray, uid: np.ndarray) -> np.ndarray:
-    """Which windows have an earlier one of the same name."""
+def word_ids(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """Numbers that are equal where words are."""
+    return np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+
+
+def later_copies(name: np.ndarray, doc: np.ndarray, at: np.ndarray, uid: np.ndarray, place: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows have an earlier one of the same words; windows are ids[place : place + WINDOW], names only find the candidates."""
     by = np.lexsort((uid, at, doc, name))
-    n, u, a = name[by], uid[by], at[by]
-    first = np.flatnonzero(np.r_[True, n[1:] != n[:-1]][: len(n)])
+    n = name[by]
+    new = np.r_[True, n[1:] != n[:-1]][: len(n)]
+    twice = np.flatnonzero(~new)
+    a, b = place[by][twice], place[by][twice - 1]
+    differ = np.zeros(len(twice), bool)
+    for j in range(WINDOW):
+        differ |= ids[a + j] != ids[b + j]
+    if differ.any():  # windows of one hash and other words: name all by their words
+        rows = np.ascontiguousarray(ids[place[:, None] + np.arange(WINDOW)])
+        _, exact = np.unique(rows.view(f"V{8 * WINDOW}").ravel(), return_inverse=True)
+        return later_copies(exact.astype(U64), doc, at, uid, place, ids)
+    u, t = uid[by], at[by]
+    first = np.flatnonzero(new)
     head = np.repeat(first, np.diff(np.r_[first, len(n)]))
     out = np.zeros(len(name), bool)
-    out[by] = (u != u[head]) | (a != a[head])  # a repeated row is the same window, not a copy
+    out[by] = (u != u[head]) | (t != t[head])  # a repeated row is the same window, not a copy
     return out
 
 
-_HEAD = [np.int64, np.int64, np.uint32, np.uint32]  # uid, doc, first window, mask of the windows listed
+_HEAD = [np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint8]  # key (part of the anchor), uid, doc, first window, mask of the windows listed, windows
+SEND_WORDS = 1 << 21  # words a map task holds before it writes its blocks
+
+
+def bits_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bit) of every bit set."""
+    return np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
 
 
 def kernel(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    heads, names = [], []
-    for raw in raws:
-        n, at, cols = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for t in _HEAD:
-            cols.append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
-        heads.append(cols)
-        names.append(np.frombuffer(raw[at:], U64))
-    uid, doc, start, mask = (np.concatenate(c) for c in zip(*heads, strict=True))
-    which, bit = np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
-    at = start[which].astype(np.int64) + bit
-    late = later_copies(np.concatenate(names), doc[which], at, uid[which])
+    heads, ids, known = [], [], {}
+    for raw in map(expand, raws):
+        columns, at = from_planes(raw, int(np.frombuffer(raw, np.int64, 1)[0]), _HEAD, 8)
+        heads.append(columns)
+        ids.append(word_ids(raw[at:].split(), known))
+    _, uid, doc, start, mask, count = (np.concatenate(c) for c in zip(*heads, strict=True))
+    ids = np.concatenate(ids)
+    size = count.astype(np.int64) + WINDOW - 1
+    first = np.cumsum(size) - size
+    which, bit = bits_of(mask)
+    at, place = start[which].astype(np.int64) + bit, first[which] + bit
+    late = later_copies(window_hashes(mix(ids.view(U64)), WINDOW)[place], doc[which], at, uid[which], place, ids)
     return pack_marks(uid[which][late], at[late])
 
 
-def repeated_words(docs: DataFrame) -> DataFrame:
+def repeated_words(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, text, uid, marks: the marked 20-word windows of each document, for covered()."""
     rows = with_uid(docs)
     parts = partitions(docs.sparkSession)
     buckets = parts * SPREAD
+    found, hot = repeated_anchors(rows, anchors, hot_least)
+    hottest = docs.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_freed_memory()
@@ -181,56 +206,67 @@ def repeated_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 held.append(_flagged(part))
-                size += len(held[-1][-1])
-            if size > 2 * FLUSH:
-                yield from flush(held)
-                held, size = [], 0
+                size += len(held[-1][7])
+                if size > SEND_WORDS:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
+        moved = np.cumsum([0, *(len(h[7]) for h in held)])
         key, uid, doc, start, count, name = (np.concatenate([h[i] for h in held]) for i in range(6))
+        first = np.concatenate([h[6] + m for h, m in zip(held, moved, strict=False)])
+        words = [w for h in held for w in h[7]]
+        held.clear()
         if not len(key):
             return
+        ids = word_ids(words, {})
         run = np.repeat(np.arange(len(key)), count)
         bit = spread(np.zeros(len(key), np.int64), count)
-        late = later_copies(name, doc[run], start[run] + bit, uid[run])
+        late = later_copies(name, doc[run], start[run] + bit, uid[run], first[run] + bit, ids)
         marks = pack_marks(uid[run][late], (start[run] + bit)[late])
         yield from blocks((mix(marks[0].view(U64)) % U64(buckets)).astype(np.int64), list(marks), True)
+        run, bit, name = run[~late], bit[~late], name[~late]
         mask = np.zeros(len(key), np.uint32)
-        np.bitwise_or.at(mask, run[~late], np.uint32(1) << bit[~late].astype(np.uint32))
-        left = np.bincount(run[~late], minlength=len(key))
-        first = np.cumsum(left) - left
-        name = name[~late]
-        bucket = ((key >> U64(20)) % U64(buckets)).astype(np.int64)
-        stay = np.flatnonzero(mask)
-        stay = stay[np.argsort(bucket[stay], kind="stable")]
-        if not len(stay):
+        np.bitwise_or.at(mask, run, np.uint32(1) << bit.astype(np.uint32))
+        hot = is_in(key, hottest.value)
+        single = hot[run]  # window by window, each under its own hash
+        stay = np.flatnonzero((mask != 0) & ~hot)
+        r, b = run[single], bit[single]
+        key, mask = np.concatenate([key[stay], name[single]]), np.concatenate([mask[stay], np.ones(len(r), np.uint32)])
+        uid, doc = np.concatenate([uid[stay], uid[r]]), np.concatenate([doc[stay], doc[r]])
+        start, first = np.concatenate([start[stay], start[r] + b]), np.concatenate([first[stay], first[r] + b])
+        count = np.concatenate([count[stay], np.ones(len(r), np.int64)])
+        if not len(key):
             return
-        cuts = np.flatnonzero(np.r_[True, bucket[stay][1:] != bucket[stay][:-1]])
+        bucket, part = ((key >> U64(20)) % U64(buckets)).astype(np.int64), (key >> U64(32)).astype(np.uint32)
+        by = np.lexsort((part, bucket))
+        cuts = np.flatnonzero(np.r_[True, bucket[by][1:] != bucket[by][:-1]])
         packed = []
-        for s in np.split(stay, cuts[1:]):
-            head = b"".join(c[s].astype(t).tobytes() for c, t in zip((uid, doc, start, mask), _HEAD, strict=True))
-            packed.append(np.int64(len(s)).tobytes() + head + name[spread(first[s], left[s])].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[stay][cuts]), pa.array(np.zeros(len(cuts), bool)), pa.array(packed, pa.binary())], ["bucket", "sure", "packed"])
+        for s in np.split(by, cuts[1:]):
+            head = planes([c[s].astype(t) for c, t in zip((part, uid, doc, start, mask, count), _HEAD, strict=True)])
+            body = b" ".join([b" ".join(words[a:z]) for a, z in zip(first[s].tolist(), (first[s] + count[s] + WINDOW - 1).tolist(), strict=True)])
+            packed.append(squeeze(np.int64(len(s)).tobytes() + head + body))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[by][cuts]), pa.array(np.zeros(len(cuts), bool)), pa.array(packed, pa.binary())], ["bucket", "sure", "packed"])
 
-    sent = map_batches(attach(rows, repeated_anchors(rows, anchors)), send, BLOCK_SCHEMA)
+    sent = map_batches(attach(rows, found), send, BLOCK_SCHEMA)
     return with_marks(rows, meet_and_return(sent, kernel))
 
 
 def _flagged(part: pa.RecordBatch) -> tuple:
-    """key, uid, doc, first window in document, windows, window names of the runs at repeated anchors."""
+    """key, uid, doc, first window in document, windows, window names, first word here of the runs at repeated anchors; all words."""
     key, start, count, doc, words, ends = anchor_runs(part.column("text"))
     begin = np.searchsorted(doc, np.arange(len(ends)))
-    ordinals = [np.frombuffer(o, np.uint32).astype(np.int64) for o in part.column("ordinals").to_pylist()]
-    at = np.concatenate([np.zeros(0, np.int64), *(o[o < e - b] + b for o, b, e in zip(ordinals, begin, begin[1:], strict=False))])
+    at = np.concatenate([np.zeros(0, np.int64), *(o[o < e - b] + b for o, b, e in zip(ordinals_of(part.column("ordinals")), begin, begin[1:], strict=False))])
     key, start, count, doc = key[at], start[at], count[at], doc[at]
     uid, ids = part.column("uid").to_numpy(), order_ids(part.column("doc_id"))
     names = window_hashes(words, WINDOW)[spread(start, count)] if len(at) else np.zeros(0, U64)
-    return key, uid[doc], ids[doc], start - ends[doc], count, names
+    shown = [w for t in part.column("text").to_pylist() for w in t.encode("utf-8", "surrogatepass").split()]
+    return key, uid[doc], ids[doc], start - ends[doc], count, names, start, shown
 
 
-def deduplicate_words(docs: DataFrame) -> DataFrame:
+def deduplicate_words(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept (the remaining words joined by a space)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +285,7 @@ def deduplicate_words(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    return map_batches(repeated_words(docs).select("doc_id", "text", "marks"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return map_batches(repeated_words(docs, hot_least).select("doc_id", "text", "marks"), run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op8_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Removes every byte covered by a 50-byte string that also starts in a document with a smaller doc_id. Each
 window's anchor is its 16-byte string of least hash (see _anchors for how anchors met only once are dropped); runs of
-windows with one anchor travel as short segments of text, equal segments of a map task once. Where segments
-of a bucket meet, a suffix array of them is built by two-stage sorting: only suffixes smaller than their
+windows with one anchor travel as short segments of text, equal segments of a map task once. Where the
+segments of an anchor meet, equal ones (compared byte by byte) are one class; where an anchor has several
+classes a suffix array of them is built by two-stage sorting: only suffixes smaller than their
 successor are sorted directly (to the depth that matters), the others are induced by one scan over the
 symbol buckets; adjacent common prefixes of at least 50 bytes then give the equal windows and, in each
 class of them, the smallest doc_id.
@@ -22,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm._anchors import BLOCK_SCHEMA, FLUSH, SPREAD, attach, blocks, covered, meet_and_return, order_ids, repeated_anchors, with_marks, with_uid
-from quillon.llm._base import BYTE_CODE, U64, map_batches, partitions, range_hashes, release_freed_memory, spread, table, text_bytes, text_slices
+from quillon.llm._anchors import BLOCK_SCHEMA, HOT_LEAST, SPREAD, attach, blocks, covered, expand, from_planes, is_in, meet_and_return, order_ids, ordinals_of, planes, repeated_anchors, squeeze, with_marks, with_uid
+from quillon.llm._base import BYTE_CODE, U64, map_batches, mix, partitions, range_hashes, release_freed_memory, spread, table, text_bytes, text_slices
 
 WINDOW = 50
 GRAM = 16
@@ -148,81 +149,103 @@ def window_owners(text: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> np.
     return out
 
 
-_HEAD = [("uid", np.int64), ("doc", np.int64), ("start", np.uint32), ("count", np.uint8), ("part", np.uint8)]  # part: bits of the anchor by which a bucket is taken apart again
-PART_BYTES = 1 << 20  # segment text that is sorted at a time, unless one part alone has more
+_HEAD = [np.uint32, np.int64, np.int64, np.uint32, np.uint8]  # key (part of the anchor), uid, doc, start, count
+PART_BYTES = 1 << 20  # segment text that is sorted at a time, unless one anchor alone has more
+SEND_BYTES = 1 << 24  # text a map task holds before it writes its blocks
+STEP = 1 << 15  # segments named or compared at a time
 
 
-def _pack(uid, doc, start, count, part, data, first) -> bytes:
-    size = count + WINDOW - 1
-    body = data[spread(first, size)].tobytes()
-    head = b"".join(c.astype(t).tobytes() for c, (_, t) in zip((uid, doc, start, count, part), _HEAD, strict=True))
-    return np.int64(len(uid)).tobytes() + head + body
+def _pack(key, uid, doc, start, count, data, first) -> bytes:
+    body = data[spread(first, count + WINDOW - 1)].tobytes()
+    head = planes([c.astype(t) for c, t in zip((key, uid, doc, start, count), _HEAD, strict=True)])
+    return squeeze(np.int64(len(uid)).tobytes() + head + body)
 
 
 def _segments(raws: list[bytes]) -> tuple:
     heads, bodies = [], []
-    for raw in raws:
-        n, at, cols = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-        for _, t in _HEAD:
-            cols.append(np.frombuffer(raw, t, n, at))
-            at += n * np.dtype(t).itemsize
-        heads.append(cols)
+    for raw in map(expand, raws):
+        columns, at = from_planes(raw, int(np.frombuffer(raw, np.int64, 1)[0]), _HEAD, 8)
+        heads.append(columns)
         bodies.append(np.frombuffer(raw, np.uint8, offset=at))
-    uid, doc, start, count, part = (np.concatenate(c) for c in zip(*heads, strict=True))
-    return uid, doc, start, count.astype(np.int64), part, np.concatenate(bodies)
-
-
-def distinct_segments(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(representative of each class, class of each segment) for data[first : first + size]."""
-    name = range_hashes(BYTE_CODE[data], first, first + size)
-    _, one, which = np.unique(name, return_index=True, return_inverse=True)
+    key, uid, doc, start, count = (np.concatenate(c) for c in zip(*heads, strict=True))
+    return key, uid, doc, start, count.astype(np.int64), np.concatenate(bodies)
+
+
+def names_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each data[first : first + size]."""
+    out = [np.zeros(0, U64)]
+    for at in range(0, len(first), STEP):
+        n = size[at : at + STEP]
+        ends = np.cumsum(n)
+        out.append(range_hashes(BYTE_CODE[data[spread(first[at : at + STEP], n)]], ends - n, ends))
+    return np.concatenate(out)
+
+
+def classes(key: np.ndarray, name: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(representative of each class, class of each segment): segments of one key and equal bytes. Names only find them; bytes decide."""
+    by = np.lexsort((name, size, key))
+    new = np.r_[True, (key[by][1:] != key[by][:-1]) | (size[by][1:] != size[by][:-1]) | (name[by][1:] != name[by][:-1])][: len(by)]
+    one, which = by[new], np.empty(len(by), np.int64)
+    which[by] = np.cumsum(new) - 1
+    for at in range(0, len(key), STEP):
+        n = size[at : at + STEP]
+        differ = data[spread(first[at : at + STEP], n)] != data[spread(first[one[which[at : at + STEP]]], n)]
+        if differ.any():  # two texts of one hash: name by the bytes themselves
+            exact: dict[bytes, int] = {}
+            ids = [exact.setdefault(data[f : f + n].tobytes(), len(exact)) for f, n in zip(first, size, strict=True)]
+            return classes(key, np.array(ids, U64), data, first, size)
     return one, which
 
 
-def kernel(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marks of a bucket. Equal windows have one anchor, so parts of the anchors can be taken one after the other."""
-    uid, doc, start, count, part, body = _segments(raws)
-    size = count + WINDOW - 1
-    first = np.cumsum(size) - size
-    parts = min(256, 1 + len(body) // PART_BYTES)
-    out = []
-    for p in range(parts):
-        i = np.flatnonzero(part % parts == p)
-        if len(i):
-            out.append(_marks(uid[i], doc[i], start[i], count[i], body, first[i]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+def full(count: np.ndarray) -> np.ndarray:
+    return (U64(1) << count.astype(U64)) - U64(1)
 
 
-def _marks(uid: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, body: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kernel(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of a bucket, anchor by anchor: equal windows have one anchor."""
+    key, uid, doc, start, count, body = _segments(raws)
     size = count + WINDOW - 1
-    body = body[spread(first, size)]
     first = np.cumsum(size) - size
-    one, which = distinct_segments(body, first, size)
+    one, which = classes(key, names_of(body, first, size), body, first, size)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, which, doc)
-    # text of the different segments, each ended by MARK
-    sizes, counts = size[one], count[one]
-    begin = np.cumsum(sizes + 1) - sizes - 1
-    text = np.full(int((sizes + 1).sum()), MARK, np.uint8)
-    text[spread(begin, sizes)] = body[spread(first[one], sizes)]
-    valid = spread(begin, counts)
-    owners = window_owners(text, valid, np.repeat(least, counts))
-    base = np.cumsum(counts) - counts
-    rows = spread(base[which], count)
-    bit = spread(np.zeros(len(uid), np.int64), count)
-    own = np.repeat(np.arange(len(uid)), count)
-    marked = owners[rows] < doc[own]
-    mask = np.zeros(len(uid), U64)
-    np.bitwise_or.at(mask, own[marked], U64(1) << bit[marked].astype(U64))
+    # one and its classes ascend by key; anchors with one class only need no sorting
+    owner = key[one]
+    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+    many = np.diff(np.r_[edge, len(owner)])
+    several = np.flatnonzero(np.repeat(many > 1, many))
+    piece = (np.cumsum(size[one[several]]) // PART_BYTES)[np.searchsorted(owner[several], owner[several])]  # an anchor stays in one piece
+    masks = np.zeros(len(one), U64)
+    for i in np.split(several, np.flatnonzero(np.diff(piece)) + 1):
+        if len(i):
+            masks[i] = _class_masks(body, first[one[i]], count[one[i]], least[i])
+    mask = np.where(doc > least[which], full(count), masks[which])
     hit = mask != 0
     return uid[hit], start[hit], mask[hit]
 
 
-def repeated_bytes(docs: DataFrame) -> DataFrame:
+def _class_masks(body: np.ndarray, first: np.ndarray, count: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Per class of segments: which of its windows a smaller doc_id has in another class."""
+    size = count + WINDOW - 1
+    begin = np.cumsum(size + 1) - size - 1
+    text = np.full(int((size + 1).sum()), MARK, np.uint8)
+    text[spread(begin, size)] = body[spread(first, size)]
+    owners = window_owners(text, spread(begin, count), np.repeat(least, count))
+    own = np.repeat(np.arange(len(count)), count)
+    bit = spread(np.zeros(len(count), np.int64), count)
+    marked = owners < least[own]
+    out = np.zeros(len(count), U64)
+    np.bitwise_or.at(out, own[marked], U64(1) << bit[marked].astype(U64))
+    return out
+
+
+def repeated_bytes(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, text, uid, marks: the marked 50-byte windows of each document, for covered()."""
     rows = with_uid(docs)
     parts = partitions(docs.sparkSession)
     buckets = parts * SPREAD
+    found, hot = repeated_anchors(rows, anchors, hot_least)
+    known = docs.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_freed_memory()
@@ -230,54 +253,61 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch):
                 held.append(_flagged(part))
-                size += len(held[-1][0]) * 8
-            if size > FLUSH:
-                yield from flush(held)
-                held, size = [], 0
+                size += len(held[-1][6])
+                if size > SEND_BYTES:
+                    yield from flush(held)
+                    held, size = [], 0
         if held:
             yield from flush(held)
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        moved = np.cumsum([0, *(len(h[5]) for h in held)])
-        key, uid, doc, start, count = (np.concatenate([h[i] for h in held]) for i in range(5))
-        data = np.concatenate([h[5] for h in held])
-        first = np.concatenate([h[6] + m for h, m in zip(held, moved, strict=False)])
+        moved = np.cumsum([0, *(len(h[6]) for h in held)])
+        key, uid, doc, start, count, name = (np.concatenate([h[i] for h in held]) for i in range(6))
+        data = np.concatenate([h[6] for h in held])
+        first = np.concatenate([h[7] + m for h, m in zip(held, moved, strict=False)])
+        held.clear()
+        hot = is_in(key, known.value)
+        if hot.any():  # window by window, each under its own hash
+            n = count[hot]
+            single = spread(first[hot], n)
+            own = names_of(data, single, np.full(len(single), WINDOW))
+            shown = [np.repeat(uid[hot], n), np.repeat(doc[hot], n), spread(start[hot], n), np.ones(len(single), np.int64)]
+            uid, doc, start, count = (np.concatenate([c[~hot], x]) for c, x in zip((uid, doc, start, count), shown, strict=True))
+            key, name, first = np.concatenate([key[~hot], own]), np.concatenate([name[~hot], own]), np.concatenate([first[~hot], single])
         if not len(key):
             return
-        one, which = distinct_segments(data, first, count + WINDOW - 1)
+        one, which = classes(key, name, data, first, count + WINDOW - 1)
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         later = doc > least[which]  # an equal segment with a smaller doc_id is right here
-        full = (U64(1) << count[later].astype(U64)) - U64(1)
-        yield from blocks((uid[later].view(U64) % U64(buckets)).astype(np.int64), [uid[later], start[later].astype(np.uint32), full], True)
+        yield from blocks((mix(uid[later].view(U64)) % U64(buckets)).astype(np.int64), [uid[later], start[later].astype(np.uint32), full(count[later])], True)
         stay = np.flatnonzero(~later)
-        bucket = (key[stay] >> U64(20)) % U64(buckets)
-        by = np.argsort(bucket, kind="stable")
-        stay, bucket = stay[by], bucket[by].astype(np.int64)
+        bucket = ((key[stay] >> U64(20)) % U64(buckets)).astype(np.int64)
+        part = (key[stay] >> U64(32)).astype(np.uint32)
+        by = np.lexsort((part, bucket))
+        stay, bucket, part = stay[by], bucket[by], part[by]
         cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
-        part = ((key >> U64(48)) & U64(255)).astype(np.uint8)
-        packed = [_pack(uid[s], doc[s], start[s], count[s], part[s], data, first[s]) for s in np.split(stay, cuts[1:])]
+        packed = [_pack(p, uid[s], doc[s], start[s], count[s], data, first[s]) for s, p in zip(np.split(stay, cuts[1:]), np.split(part, cuts[1:]), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(np.zeros(len(cuts), bool)), pa.array(packed, pa.binary())], ["bucket", "sure", "packed"])
 
-    sent = map_batches(attach(rows, repeated_anchors(rows, anchors)), send, BLOCK_SCHEMA)
+    sent = map_batches(attach(rows, found), send, BLOCK_SCHEMA)
     marks = meet_and_return(sent, kernel)
     return with_marks(rows, marks)
 
 
 def _flagged(part: pa.RecordBatch) -> tuple:
-    """key, uid, doc, start in document, windows, bytes, first byte: the runs at repeated anchors."""
+    """key, uid, doc, start in document, windows, name, bytes of all texts, first byte there: the runs at repeated anchors."""
     data, offsets = text_bytes(part.column("text"))
     key, start, count, doc = anchor_runs(data, offsets)
     begin = np.searchsorted(doc, np.arange(len(offsets)))
-    ordinals = [np.frombuffer(o, np.uint32).astype(np.int64) for o in part.column("ordinals").to_pylist()]
-    at = np.concatenate([np.zeros(0, np.int64), *(o[o < e - b] + b for o, b, e in zip(ordinals, begin, begin[1:], strict=False))])
+    at = np.concatenate([np.zeros(0, np.int64), *(o[o < e - b] + b for o, b, e in zip(ordinals_of(part.column("ordinals")), begin, begin[1:], strict=False))])
     key, start, count, doc = key[at], start[at], count[at], doc[at]
     uid, ids = part.column("uid").to_numpy(), order_ids(part.column("doc_id"))
-    size = count + WINDOW - 1
-    return key, uid[doc], ids[doc], start - offsets[doc], count, data[spread(start, size)], np.cumsum(size) - size
+    name = range_hashes(BYTE_CODE[data], start, start + count + WINDOW - 1)
+    return key, uid[doc], ids[doc], start - offsets[doc], count, name, data.copy(), start
 
 
-def deduplicate_bytes(docs: DataFrame) -> DataFrame:
+def deduplicate_bytes(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (binary: the remaining bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +323,7 @@ def deduplicate_bytes(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return map_batches(repeated_bytes(docs).select("doc_id", "text", "marks"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return map_batches(repeated_bytes(docs, hot_least).select("doc_id", "text", "marks"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

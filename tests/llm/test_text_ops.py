@@ -171,6 +171,7 @@ def test_suffix_dedup(docs, rows, empty):
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.deduplicate_bytes(docs).collect()}
     assert got == brute_bytes(rows)
     assert suffix_dedup.deduplicate_bytes(empty).count() == 0
+    assert suffix_dedup.deduplicate_bytes(frame(empty.sparkSession, [(1, None), (None, None)])).count() == 2
 
 
 def test_suffix_order():
@@ -223,8 +224,8 @@ def test_equal_windows_have_equal_anchors(letters):
 
 def test_dedup_flushes_and_batches(spark, rows, monkeypatch):
     monkeypatch.setattr(_anchors, "FLUSH", 50)
-    monkeypatch.setattr(suffix_dedup, "FLUSH", 50)
-    monkeypatch.setattr(recompression_dedup, "FLUSH", 50)
+    monkeypatch.setattr(suffix_dedup, "SEND_BYTES", 50)
+    monkeypatch.setattr(recompression_dedup, "SEND_WORDS", 50)
     many = frame(spark, rows).repartition(5)
     got = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.deduplicate_bytes(many).collect()}
     assert got == {i: v[3] for i, v in brute_bytes(rows).items()}
@@ -232,6 +233,44 @@ def test_dedup_flushes_and_batches(spark, rows, monkeypatch):
     assert got == {i: v[2] for i, v in brute_words(rows).items()}
 
 
+def test_dedup_at_hot_anchors(spark, monkeypatch):
+    """A passage that most documents share, in a different context each: its anchors are hot and are taken apart."""
+    monkeypatch.setattr(_anchors, "HOT_SHARE", 1 << 20)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    make = lambda k: " ".join(word() for _ in range(k))
+    passage = make(70)
+    rows = [(i, f"{make(rng.randint(5, 30))} {passage} {make(rng.randint(5, 30))}" if i % 5 else make(60)) for i in range(120)]
+    rows += [(500 + i, passage[rng.randint(0, 80) :]) for i in range(20)]
+    docs = frame(spark, rows).repartition(3)
+    found, hot = _anchors.repeated_anchors(_anchors.with_uid(docs), suffix_dedup.anchors, 30)
+    assert len(hot) > 5
+    got = {r["doc_id"]: r["kept_sha256"] for r in suffix_dedup.deduplicate_bytes(docs, 30).collect()}
+    assert got == {i: v[3] for i, v in brute_bytes(rows).items()}
+    _, hot = _anchors.repeated_anchors(_anchors.with_uid(docs), recompression_dedup.anchors, 30)
+    assert len(hot) > 1
+    got = {r["doc_id"]: r["kept_sha256"] for r in recompression_dedup.deduplicate_words(docs, 30).collect()}
+    assert got == {i: v[2] for i, v in brute_words(rows).items()}
+
+
+def test_equal_hashes_of_different_texts():
+    """Hashes find candidates only: with all hashes equal the bytes and the words still decide."""
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    first, size = rng.integers(0, 300, 200), np.full(200, 5)
+    one, which = suffix_dedup.classes(np.zeros(200, np.uint32), np.zeros(200, np.uint64), data, first, size)
+    texts = [data[f : f + 5].tobytes() for f in first]
+    assert [texts[one[w]] for w in which] == texts and len({texts[i] for i in one}) == len(one)
+    ids = rng.integers(0, 2, 23)
+    place = np.r_[rng.integers(0, 4, 30)]
+    late = recompression_dedup.later_copies(np.zeros(30, np.uint64), np.arange(30), np.zeros(30, np.int64), np.arange(30), place, ids)
+    seen = set()
+    for i, p in enumerate(place):
+        window = tuple(ids[p : p + 20])
+        assert late[i] == (window in seen)
+        seen.add(window)
+
+
 def test_bpe(docs, rows, empty):
     from tokenizers import Tokenizer
 
