@@ -69,30 +69,34 @@ def anchors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return found, np.zeros(len(found), bool), np.searchsorted(doc, np.arange(len(offsets)))
 
 
-def suffix_order(text: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Suffixes of text (bytes) in order of at least their first `depth` symbols, by two-stage sorting."""
+def _ties(same: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places among `at` whose key equals a neighbour's, `same` telling equality with the one before, and their groups' numbers."""
+    tie = same.copy()
+    tie[:-1] |= same[1:]
+    number = np.cumsum(tie & ~same)
+    return at[tie], number[tie]
+
+
+def suffix_order(text: np.ndarray, eight: np.ndarray, depth: int = WINDOW) -> np.ndarray:
+    """Suffixes of text (bytes) in order of at least their first `depth` symbols, by two-stage sorting. eight: packed_eights of the padded text."""
     n = len(text)
-    padded = np.r_[text, np.zeros(depth + 16, np.uint8)]
-    eight = packed_eights(padded)
-    # a suffix is smaller than its successor if the next different symbol is larger; the last is not
-    new = np.flatnonzero(text[1:] != text[:-1])
-    following = np.searchsorted(new, np.arange(n))
-    rises = np.zeros(n, bool)
-    inside = following < len(new)
-    rises[inside] = text[new[following[inside]] + 1] > text[np.flatnonzero(inside)]
-    direct = np.flatnonzero(rises)
-    steps = list(range(8, depth + 8, 8))
-    order = np.argsort(eight[direct], kind="stable")
-    direct = direct[order]
-    head = eight[direct]
-    tie = np.zeros(len(direct), bool)
-    tie[1:] = head[1:] == head[:-1]
-    group = np.cumsum(~tie)
-    tie[:-1] |= tie[1:]
-    at = np.flatnonzero(tie)
-    if len(at):
+    # a suffix is smaller than its successor if the next different symbol is larger; the last run's are not
+    runs = np.flatnonzero(np.r_[True, text[1:] != text[:-1]][:n])
+    head = text[runs]
+    direct = np.flatnonzero(np.repeat(np.r_[head[1:] > head[:-1], False][: len(runs)], np.diff(np.r_[runs, n])))
+    first = eight[direct]
+    order = np.argsort(first)
+    direct, first = direct[order], first[order]
+    at, group = _ties(np.r_[False, first[1:] == first[:-1]][: len(first)], np.arange(len(direct)))
+    done = 8
+    while len(at) and done < depth:  # tied suffixes by as many further symbols as fit beside the group's number
+        fits = (64 - int(group[-1]).bit_length()) // 8
         tied = direct[at]
-        direct[at] = tied[np.lexsort([*(eight[tied + s] for s in reversed(steps)), group[at]])]
+        more = eight[tied + done] >> U64(64 - 8 * fits) | group.astype(U64) << U64(8 * fits)
+        order = np.argsort(more)
+        direct[at], more = tied[order], more[order]
+        at, group = _ties(np.r_[False, more[1:] == more[:-1]], at)
+        done += fits
     bounds = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
     if n:
@@ -131,13 +135,13 @@ def packed_eights(padded: np.ndarray) -> np.ndarray:
 
 def window_owners(text: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each valid window start: the smallest owner among the starts of equal windows."""
-    order = suffix_order(text)
+    eight = packed_eights(np.r_[text, np.zeros(WINDOW + 16, np.uint8)])
+    order = suffix_order(text, eight)
     place = np.full(len(text) + 1, -1, np.int64)
     place[valid] = np.arange(len(valid))
     rank = place[order]
     rank = rank[rank >= 0]
     at = valid[rank]
-    eight = packed_eights(np.r_[text, np.zeros(WINDOW + 16, np.uint8)])
     same = np.ones(max(len(at) - 1, 0), bool)
     for s in (*range(0, WINDOW - 8, 8), WINDOW - 8):  # common prefix with the suffix before is 50 at least
         same &= eight[at[1:] + s] == eight[at[:-1] + s]
