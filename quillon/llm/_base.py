@@ -11,10 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 19  # text handled by one numpy pass; a longer single text is a slice of its own
 
+HOT_ROWS = 1000
+
 _written: list[str] = []
 
 
@@ -23,44 +26,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else one set here (tests, local mode)."""
+    """The folder all executors share: spark.checkpoint.dir; where that is unset (tests), one set here, under a local master only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file:///tmp/quillon-checkpoints"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *replaced: DataFrame) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: lineage ends in replicated files,
-    so a lost executor costs no recomputation of what came before. Files go when the driver exits."""
+    so a lost executor costs no recomputation of what came before. The files of the materialized tables that
+    this one replaces go at once, the others when the driver exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _written:
-        atexit.register(_remove_written, spark)
+        atexit.register(_remove, spark, _written)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _remove(spark, [x._files for x in replaced if hasattr(x, "_files")])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._files = path
+    return out
 
 
-def _remove_written(spark: SparkSession) -> None:
+def _remove(spark: SparkSession, paths: list[str]) -> None:
     try:
         jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _written:
+        for path in paths:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
     except Exception:  # the JVM has gone first; nothing is left to remove the files with
         return
 
 
-def partitions(spark: SparkSession, least: int = 8) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left join right on `key`, of which right holds one row each. Keys with over HOT_ROWS rows in left, and among
+    the 4 a partition that have most, are joined with a broadcast of their few rows of right, so that no task
+    gets all rows of a hot key; the others by an exchange. left is read three times: materialize it first."""
+    spark = left.sparkSession
+    most = left.groupBy(key).count().orderBy(F.desc("count")).limit(4 * partitions(spark)).collect()
+    hot = [(r[0],) for r in most if r["count"] > HOT_ROWS and r[0] is not None]
+    if not hot:
+        return left.join(right, key, how)
+    keys = F.broadcast(spark.createDataFrame(hot, f"{key} {left.schema[key].dataType.simpleString()}"))
+    few = F.broadcast(right.join(keys, key, "left_semi"))
+    return left.join(keys, key, "left_anti").join(right, key, how).unionByName(left.join(keys, key, "left_semi").join(few, key, how))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches of this session hold at most `rows` rows, so that JVM and worker buffers stay small beside the arrays built from them."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def partitions(spark: SparkSession, least: int = 8) -> int:
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def release_freed_memory() -> None:

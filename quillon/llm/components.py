@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm._base import materialize
+from quillon.llm._base import materialize, spread_join
 
 MAX_ROUNDS = 60
 
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round hooks every vertex to its smallest neighbour, jumps pointers twice, renames the edges and
     drops those inside a component; the edge table shrinks at least by half a round and the hooks of a
-    round are aggregated map-side, so a vertex with very many edges is no hot spot.
+    round are aggregated map-side and renamed by spread_join, so a vertex with very many edges is no hot spot.
     """
     left = materialize(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
@@ -24,16 +24,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels if labels is not None else left.select(F.col("a").alias("v"), F.col("b").alias("c"))
         ends = left.select(F.col("a").alias("v"), F.col("b").alias("u")).union(left.select("b", "a"))
         hook = ends.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c"))
+        hook = materialize(hook)
         for _ in range(2):
-            to = hook.select(F.col("v").alias("w"), F.col("c").alias("d"))
-            hook = materialize(hook.join(to, hook["c"] == to["w"]).select("v", F.col("d").alias("c")))
-        if labels is None:
-            labels = hook
-        else:
-            to = hook.select(F.col("v").alias("w"), F.col("c").alias("d"))
-            labels = materialize(labels.join(to, labels["c"] == to["w"], "left").select("v", F.coalesce("d", "c").alias("c")))
+            hook = materialize(_follow(hook, hook, "c"), hook)
+        labels = hook if labels is None else materialize(_follow(labels, hook, "c"), labels)
+        old = left
         for end in ("a", "b"):
-            to = hook.select(F.col("v").alias("w"), F.col("c").alias("d"))
-            left = left.join(to, left[end] == to["w"]).drop(end, "w").withColumnRenamed("d", end)
-        left = materialize(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            left = materialize(_follow(left, hook, end), *([left] if end == "b" else []))
+        left = materialize(left.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), left, old)
     raise RuntimeError("components did not settle")
+
+
+def _follow(rows: DataFrame, hook: DataFrame, column: str) -> DataFrame:
+    """rows with the vertices in `column` replaced by what they hook to."""
+    to = hook.select(F.col("v").alias(column), F.col("c").alias("_to"))
+    return spread_join(rows, to, column, "left").select(*(F.coalesce("_to", column).alias(c) if c == column else c for c in rows.columns))

@@ -21,7 +21,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._base import map_batches, partitions, table, text_slices
@@ -188,9 +188,15 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that exact_dedup() keeps, with their columns."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The documents that exact_dedup() keeps, with their columns; of rows with one doc_id and equal texts the longest stays, once."""
+    names = docs.columns
+    flat = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)))
+    own, text = f"_c{names.index('doc_id')}", F.coalesce(F.col(f"_c{names.index('text')}").cast("string"), F.lit(""))
+    rows = flat.withColumn("_sha", F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256)).withColumn("_id", F.col(own).cast("long"))
+    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
+    rows = rows.join(kept, (rows["_sha"] == kept["_kept_sha"]) & rows["_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    once = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.length(text).desc()))
+    return rows.withColumn("_nth", once).filter("_nth = 1").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

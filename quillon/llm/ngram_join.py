@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._base import U64, map_batches, materialize, mix, partitions, range_hashes, spread, table, text_bytes, text_slices, window_hashes, words_of
+from quillon.llm._base import U64, map_batches, materialize, mix, partitions, range_hashes, spread, spread_join, table, text_bytes, text_slices, window_hashes, words_of
 from quillon.llm.components import components
 
 SIZE = 5
@@ -344,7 +344,7 @@ def _count(node: _Node, x: int, size: int, forest: Forest) -> None:
 def block_links(members: DataFrame, payload: DataFrame, kernel) -> DataFrame:
     """Links (a, b) that span what `kernel` finds among the nodes of each key.
 
-    members: key, sig, n; payload: sig, data. Keys above BLOCK nodes (or BLOCK_SHINGLES shingles) are dealt into
+    members: materialized rows key, sig, n; payload: sig, data. Keys above BLOCK nodes (or BLOCK_SHINGLES shingles) are dealt into
     blocks by a hash of sig, each with the key's PIVOTS pivots. A node whose class in its block holds no
     pivot of the main pivot class is then compared with all blocks.
     """
@@ -352,9 +352,9 @@ def block_links(members: DataFrame, payload: DataFrame, kernel) -> DataFrame:
     parts = partitions(spark)
     pivots = F.array_distinct(F.array(*(F.min_by("sig", F.xxhash64("sig", F.lit(i))) for i in range(PIVOTS))))
     blocks = F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("long")
-    sizes = members.groupBy("key").agg(blocks.alias("blocks"), pivots.alias("pivots"))
-    placed = materialize(members.join(sizes.select("key", "blocks"), "key").select("key", "blocks", "sig", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), F.lit(0).alias("role")))
-    many = sizes.filter("blocks > 1")
+    many = materialize(members.groupBy("key").agg(blocks.alias("blocks"), pivots.alias("pivots")).filter("blocks > 1"))
+    sized = spread_join(members, many.select("key", "blocks"), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    placed = materialize(sized.select("key", "blocks", "sig", F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), F.lit(0).alias("role")))
     each = many.select("key", "blocks", "pivots", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     shared = each.select("key", "blocks", F.explode("pivots").alias("sig"), "block", F.lit(1).alias("role"))
 
@@ -392,12 +392,12 @@ def block_links(members: DataFrame, payload: DataFrame, kernel) -> DataFrame:
     rest = materialize(first.filter("rest").select("key", F.col("a").alias("sig")).distinct())
     if rest.isEmpty():
         return links
-    chunks = rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("chunks"))
-    open_keys = placed.join(chunks, "key")
+    chunks = materialize(rest.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("chunks")))
+    open_keys = spread_join(placed, chunks, "key")
     each_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     held = open_keys.select("key", "blocks", "sig", "block", F.lit(0).alias("role"), each_chunk.alias("chunk"))
     each_block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    left = rest.join(sizes.select("key", "blocks"), "key").join(chunks, "key").select("key", "blocks", "sig", each_block.alias("block"), F.lit(2).alias("role"), F.pmod(F.xxhash64("sig", F.lit(1)), F.col("chunks")).alias("chunk"))
+    left = spread_join(rest, chunks.join(many.select("key", "blocks"), "key"), "key").select("key", "blocks", "sig", each_block.alias("block"), F.lit(2).alias("role"), F.pmod(F.xxhash64("sig", F.lit(1)), F.col("chunks")).alias("chunk"))
     second = linked(held.unionByName(left))
     return links.union(second.select("a", "b"))
 
@@ -441,15 +441,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = docs.join(members.select("doc_id"), "doc_id", "left_semi")
     sets = sets_of(texts).dropDuplicates(["sig"])
     final = components(block_links(members.select("key", "sig", "n"), sets, trie_links))
-    joined = nodes.select("doc_id", "sig", "n").join(final, nodes["sig"] == final["v"], "left").withColumn("c", F.coalesce("c", "sig"))
-    least = joined.filter("n > 0").groupBy("c").agg(F.min("doc_id").alias("least")).withColumnRenamed("c", "c2")
-    return joined.join(least, (F.col("c") == F.col("c2")) & (F.col("n") > 0), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    linked = materialize(final.join(one.select("sig", "doc_id"), final["v"] == F.col("sig")).select("c", "sig", "doc_id"))
+    least = linked.groupBy("c").agg(F.min("doc_id").alias("least"))
+    named = materialize(spread_join(linked, least, "c").select("sig", "least"))
+    named = one.select("sig", "doc_id").join(named, "sig", "left").select("sig", F.coalesce("least", "doc_id").alias("least"))
+    rows = spread_join(nodes.select("doc_id", "sig", "n"), named, "sig", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each component, and every document without shingles."""
-    stay = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The document with the smallest doc_id of each component, and every document without shingles. Rows of one doc_id stay or go together."""
+    stay = jaccard_components(docs).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept")).distinct().alias("_stay")
+    return docs.alias("_all").join(stay, F.col("_all.doc_id").cast("long").eqNullSafe(F.col("_stay.kept")), "left_semi")
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
