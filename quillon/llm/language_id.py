@@ -2,8 +2,9 @@
 
 Training rows are those with a language whose crc32(doc_id as text) mod 5 is not 0, at most about
 `max_docs` per language (chosen by a hash of doc_id); their counts over BUCKETS hashed 1- to 4-grams make
-one log-probability matrix (languages x buckets, at most MAX_LANGS x BUCKETS floats), broadcast to the
-executors. Scoring turns each slice of texts into (document, bucket) indices, gathers matrix rows and sums
+one log-probability matrix, broadcast to the executors. It holds at most CELLS floats: over CELLS / BUCKETS
+(512) languages the buckets are halved until it fits, so every label can be learned and predicted; over
+MAX_LANGS labels an error says so. Scoring turns each slice of texts into (document, bucket) indices, gathers matrix rows and sums
 them per document, all in numpy; whole texts are scored. score is the posterior of the chosen language.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; with no training rows all are
@@ -26,7 +27,8 @@ from quillon.llm._base import U64, map_batches, mix, table, text_slices
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 MAX_TRAIN_DOCS = 4000  # per language, about
-MAX_LANGS = 512
+CELLS = 1 << 24
+MAX_LANGS = 1 << 16
 CHUNK = 1 << 19  # code points scored in one pass
 
 
@@ -47,7 +49,12 @@ def letters() -> np.ndarray:
     return out
 
 
-def hashed_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def buckets_for(languages: int) -> int:
+    """The largest power of two up to BUCKETS with which the matrix has at most CELLS floats."""
+    return min(BUCKETS, 1 << ((CELLS // max(languages, 1)).bit_length() - 1))
+
+
+def hashed_grams(texts: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document index, bucket) of every n-gram of letters, runs of other characters counting as one mark."""
     fold = letters()
     group, size = [], 0
@@ -57,13 +64,13 @@ def hashed_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             group.append((i, piece, at + CHUNK < len(text)))
             size += len(piece)
             if size >= CHUNK:
-                yield _grams(group, fold)
+                yield _grams(group, fold, buckets)
                 group, size = [], 0
     if group:
-        yield _grams(group, fold)
+        yield _grams(group, fold, buckets)
 
 
-def _grams(group: list, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(group: list, fold: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer("".join("\0" + t for _, t, _ in group).encode("utf-32-le", "surrogatepass"), np.uint32)
     docs = np.repeat([i for i, _, _ in group], [len(t) + 1 for _, t, _ in group])
     c = fold[raw]
@@ -81,7 +88,7 @@ def _grams(group: list, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             ok = docs[:m] == docs[n - 1 :]
             if n == 1:
                 ok &= c != 1
-            out.append((mix(rolled + U64(n)) & U64(BUCKETS - 1)).astype(np.int32)[ok])
+            out.append((mix(rolled + U64(n)) & U64(buckets - 1)).astype(np.int32)[ok])
             out_docs.append(docs[:m][ok])
     return np.concatenate(out_docs), np.concatenate(out)
 
@@ -99,7 +106,7 @@ class LanguageModel:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         n, k = len(texts), len(self.languages)
         total, seen = np.tile(self.prior, (n, 1)) if k else np.zeros((n, 0)), np.zeros(n, np.int64)
-        for docs, buckets in hashed_grams([t or "" for t in texts]):
+        for docs, buckets in hashed_grams([t or "" for t in texts], len(self.log_prob)):
             if k:
                 starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
                 if len(starts):
@@ -117,28 +124,30 @@ class LanguageModel:
 def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> LanguageModel:
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS).collect()}
-    languages = sorted(sizes)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"over {MAX_LANGS} different labels in lang: not a column of languages")
+    languages, size = sorted(sizes), buckets_for(len(sizes))
     place = {lang: i for i, lang in enumerate(languages)}
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    cut = F.create_map(*[F.lit(x) for lang in languages for x in (lang, int(min(1.0, max_docs / sizes[lang]) * (1 << 20)) + 1)])
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < cut[F.col("lang")]).select("text", "lang")
+    cut = docs.sparkSession.createDataFrame([(x, int(min(1.0, max_docs / sizes[x]) * (1 << 20)) + 1) for x in languages], "lang string, cut long")
+    picked = rows.join(F.broadcast(cut), "lang").filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 20)) < F.col("cut")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(languages), BUCKETS), np.int64)
+        sums = np.zeros((len(languages), size), np.int64)
         for batch in batches:
             for part in text_slices(batch):
                 which = np.array([place[x] for x in part.column("lang").to_pylist()], np.int64)
-                for at, buckets in hashed_grams(part.column("text").to_pylist()):
-                    sums += np.bincount(which[at] * BUCKETS + buckets, minlength=sums.size).reshape(sums.shape)
+                for at, buckets in hashed_grams(part.column("text").to_pylist(), size):
+                    sums += np.bincount(which[at] * size + buckets, minlength=sums.size).reshape(sums.shape)
         for i in np.flatnonzero(sums.any(1)):
             (at,) = np.nonzero(sums[i])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i)), pa.array(at), pa.array(sums[i, at])], ["lang", "bucket", "n"])
 
     few = picked.repartition(8)  # a bounded sample: few partial count vectors
     got = map_batches(few, count, "lang long, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((len(languages), BUCKETS))
+    counts = np.zeros((len(languages), size))
     counts[got["lang"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
     return LanguageModel.from_counts(languages, counts, np.array([sizes[x] for x in languages], float))
 
@@ -164,14 +173,11 @@ MIN_SCORE = 0.5
 
 
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents with a predicted language and at least `min_score`; `und` ones go."""
-    columns = docs.columns
-    held = predict_language(docs, train(docs), columns) if not {"lang_pred", "score"} & set(columns) else None
-    if held is None:  # clashing names: predict on renamed columns
-        safe = docs.select(*(F.col(c).alias(f"_c{i}" if c in ("lang_pred", "score") else c) for i, c in enumerate(columns)))
-        held = predict_language(safe, train(docs), safe.columns)
-        return held.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*(F.col(s).alias(c) for s, c in zip(safe.columns, columns, strict=True)))
-    return held.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*columns)
+    """Documents with a predicted language and at least `min_score`; `und` ones go. Columns keep their names, whatever they are."""
+    names = docs.columns
+    safe = docs.select(*(F.col(f"`{c}`").alias(c if c in ("doc_id", "text", "lang") else f"_c{i}") for i, c in enumerate(names)))
+    held = predict_language(safe, train(safe), safe.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return held.select(*(F.col(s).alias(c) for s, c in zip(safe.columns, names, strict=True)))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
