@@ -3,16 +3,23 @@
 Trees are grown on the driver from at most about SAMPLE rows (chosen by a hash of the vector); every split
 is the hyperplane between two random points, at the median. Their size is bounded by the sample, so the
 forest is broadcast. Every row is then indexed into one leaf per tree. A query walks all trees through one
-shared priority queue, nearest margin first, until the leaves taken hold `search_share` of the rows (at
-least `search_least`), counting overlap; the leaves' rows are reranked by exact distances in double
-precision where they lie, each leaf answering its queries with its best few, which are merged per query.
+shared priority queue, nearest margin first, until the leaves taken hold `search_share` of the rows (and
+`trees` times k + 1 rows, so that k different ones are among them), counting overlap. Rows of a leaf lie in
+chunks of about CHUNK, dealt by a hash, and a chunk's queries in as many parts as keep them under ASKED, so no
+task holds a whole leaf of a large table. A chunk ranks its rows by a matrix product, scores those within
+rounding of its best k + 1 exactly in double precision, and the chunks' answers are merged per query.
+
+How large a share is needed depends on the vectors: clustered ones reach a recall of 0.9 with a few per cent,
+vectors that lie evenly on a sphere of many dimensions only with most of the table (tests/llm/recall.py
+measures both).
 
 Equal vectors are folded into one row with their 11 smallest identifiers before indexing (a result never
 needs more), so copies cannot make a leaf that no plane can split.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ in length from
 most of the sample, and rows with a null vec_id take no part; repeated identifiers of one vector count once; ties go to the smaller vec_id; fewer
-candidates than k give them all; an empty table gives an empty result. Further columns are ignored.
+candidates than k give them all; an empty table gives an empty result. Further columns are ignored, whatever
+their names; vectors may be of any length.
 """
 
 from __future__ import annotations
@@ -31,8 +38,10 @@ from quillon.llm._base import map_batches, materialize, table
 TREES = 4
 LEAF = 96  # of sample rows
 SAMPLE = 20_000
-SEARCH_SHARE = 1.0  # rows of the leaves taken, overlap included, as a share of all rows
-SEARCH_LEAST = 4000
+SEARCH_SHARE = 0.05  # rows of the leaves taken, overlap included, as a share of all rows
+SPHERE_SHARE = 1.6  # the same for vectors without clusters, which op2's table holds: about 87 % of different rows
+CHUNK = 4096
+ASKED = 16_384
 K = 10
 
 
@@ -99,12 +108,12 @@ class Forest:
         return out
 
     def search(self, point: np.ndarray, sizes: list[np.ndarray], enough: float) -> list[tuple[int, int]]:
-        """(tree, leaf) pairs in the order of the shared queue until they hold `enough` rows."""
+        """(tree, leaf) pairs in the order of the shared queue until they hold `enough` rows; one at least."""
         margins = self.normals @ point - self.cuts if len(self.normals) else self.cuts
         queue = [(-np.inf, t, root) for t, root in enumerate(self.roots)]
         heapq.heapify(queue)
         found, held = [], 0
-        while queue and held < enough:
+        while queue and (held < enough or not found):
             worst, t, node = heapq.heappop(queue)
             if node < 0:
                 found.append((t, -1 - node))
@@ -158,7 +167,29 @@ def fold_equal(rows: DataFrame, most: int = K + 1) -> DataFrame:
     return folded.groupBy("vec").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
-def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, search_share: float = SEARCH_SHARE, search_least: int = SEARCH_LEAST, trees: int = TREES, sample: int = SAMPLE) -> DataFrame:
+def best_of(x: np.ndarray, first: np.ndarray, q: np.ndarray, most: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per query the `most` nearest rows of x (ties to the smaller `first`) and their exact distances."""
+    out = []
+    most = min(most, len(x))
+    centre = x.mean(0)
+    y = x - centre
+    square = (y * y).sum(1)
+    step = max(1, (1 << 22) // len(x))
+    for at in range(0, len(q), step):
+        p = q[at : at + step] - centre
+        own = (p * p).sum(1)
+        rough = square + own[:, None] - 2 * (p @ y.T)
+        bound = np.partition(rough, most - 1, axis=1)[:, most - 1]
+        bound += 1e-10 * (square.max() + own)  # far over the rounding of the product
+        for i, (row, limit) in enumerate(zip(rough, bound, strict=True)):
+            close = np.flatnonzero(row <= limit)
+            score = np.sqrt(((q[at + i] - x[close]) ** 2).sum(1))
+            order = np.lexsort((first[close], score))[:most]
+            out.append((close[order], score[order]))
+    return out
+
+
+def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, search_share: float = SEARCH_SHARE, trees: int = TREES, sample: int = SAMPLE, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows found, its own identifier left out."""
     folded = materialize(fold_equal(usable(rows, id_col, vector_col), k + 1))
     n = folded.count()
@@ -174,44 +205,50 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
         for batch in batches:
             leaves = own.leaves_of(_matrix(batch.column("vec")))
             for t in range(leaves.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), t)), pa.array(leaves[:, t]), batch.column("vec"), batch.column("ids")], ["tree", "leaf", "vec", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaves), t)), pa.array(leaves[:, t]), batch.column("salt"), batch.column("vec"), batch.column("ids")], ["tree", "leaf", "salt", "vec", "ids"])
 
     fits = F.length("vec") == width
-    indexed = map_batches(folded.filter(fits), index, "tree long, leaf long, vec binary, ids array<long>")
+    salted = folded.filter(fits).select("vec", "ids", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(1 << 30)).alias("salt"))
+    indexed = map_batches(salted, index, "tree long, leaf long, salt long, vec binary, ids array<long>")
     sizes = [np.zeros(x, np.int64) for x in forest.value.n_leaves]
     for r in indexed.groupBy("tree", "leaf").count().collect():  # as many rows as the forest has leaves
         sizes[r["tree"]][r["leaf"]] = r["count"]
-    enough = max(search_least, search_share * n)
+    chunks = [np.maximum(1, -(-s // chunk)) for s in sizes]
+    enough = max(search_share * n, trees * (k + 1))
+    query = usable(queries, id_col, vector_col).filter(fits).dropDuplicates(["vec_id"])
+    shares = max(1, -(-query.count() // ASKED))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = forest.value
         for batch in batches:
-            ids, vecs = batch.column("vec_id").to_pylist(), batch.column("vec").to_pylist()
-            for i, vec in zip(ids, vecs, strict=True):
-                found = own.search(np.frombuffer(vec, "<f8"), sizes, enough)
-                t, leaf = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(leaf, pa.int64()), pa.array([i] * len(t)), pa.array([vec] * len(t), pa.binary())], ["tree", "leaf", "query_id", "vec"])
-
-    asked = map_batches(usable(queries, id_col, vector_col).filter(fits).dropDuplicates(["vec_id"]), route, "tree long, leaf long, query_id long, vec binary")
+            for i, vec, share in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "vec", "share")), strict=True):
+                found = [(t, leaf, c) for t, leaf in own.search(np.frombuffer(vec, "<f8"), sizes, enough) for c in range(int(chunks[t][leaf]))]
+                t, leaf, part = zip(*found, strict=True)
+                m = len(t)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(leaf, pa.int64()), pa.array(part, pa.int64()), pa.array([share] * m, pa.int64()), pa.array([i] * m, pa.int64()), pa.array([vec] * m, pa.binary())], ["tree", "leaf", "part", "share", "query_id", "vec"])
+
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in index(batches):
+            t, leaf = int(batch.column("tree")[0].as_py()) if batch.num_rows else 0, batch.column("leaf").to_numpy()
+            part = batch.column("salt").to_numpy() % chunks[t][leaf]
+            for share in range(shares):
+                yield pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("leaf"), pa.array(part, pa.int64()), pa.array(np.full(len(leaf), share)), batch.column("vec"), batch.column("ids")], ["tree", "leaf", "part", "share", "vec", "ids"])
+
+    asked = map_batches(query.withColumn("share", F.pmod(F.xxhash64("vec_id"), F.lit(shares))), route, "tree long, leaf long, part long, share long, query_id long, vec binary")
+    held = map_batches(salted, chunked, "tree long, leaf long, part long, share long, vec binary, ids array<long>")
 
     def rerank(key, held: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(held) and len(ask):
-            x = np.frombuffer(b"".join(held["vec"]), "<f8").reshape(len(held), -1)
-            q = np.frombuffer(b"".join(ask["vec"]), "<f8").reshape(len(ask), -1)
-            first = np.array([i[0] for i in held["ids"]])
-            most = min(k + 1, len(x))
-            step = max(1, (1 << 21) // x.size)
-            for at in range(0, len(q), step):
-                score = np.sqrt(((q[at : at + step, None, :] - x[None]) ** 2).sum(-1))
-                for row, query in zip(score, ask["query_id"].to_numpy()[at : at + step], strict=True):
-                    limit = np.partition(row, most - 1)[most - 1]
-                    close = np.flatnonzero(row <= limit)
-                    close = close[np.lexsort((first[close], row[close]))][:most]
-                    out.append(pd.DataFrame({"query_id": query, "ids": [held["ids"].iat[c] for c in close], "score": row[close]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
-
-    near = indexed.groupBy("tree", "leaf").cogroup(asked.groupBy("tree", "leaf")).applyInPandas(rerank, "query_id long, ids array<long>, score double")
+        if not len(held) or not len(ask):
+            return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "ids": pd.Series([], dtype=object), "score": pd.Series([], dtype="float64")})
+        x = np.frombuffer(b"".join(held["vec"]), "<f8").reshape(len(held), -1)
+        q = np.frombuffer(b"".join(ask["vec"]), "<f8").reshape(len(ask), -1)
+        ids = held["ids"].to_numpy()
+        found = best_of(x, np.array([i[0] for i in ids]), q, k + 1)
+        at = np.concatenate([c for c, _ in found])
+        return pd.DataFrame({"query_id": np.repeat(ask["query_id"].to_numpy(), [len(c) for c, _ in found]), "ids": ids[at], "score": np.concatenate([s for _, s in found])})
+
+    where = ["tree", "leaf", "part", "share"]
+    near = held.groupBy(*where).cogroup(asked.groupBy(*where)).applyInPandas(rerank, "query_id long, ids array<long>, score double")
     each = near.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -219,4 +256,4 @@ def nearest(rows: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_
 
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0), search_share=SPHERE_SHARE)
