@@ -2,12 +2,13 @@
 
 Training samples are labelled: "random" strings drawn over the alphabets that keys are issued in, and
 "ordinary" identifiers, the words of a bounded sample of documents (MAX_TRAIN_DOCS) joined the ways code
-joins them. Both give a first-order Markov model over 66 character classes; a long unbroken run of key
+joins them; no word list is built in, so the models suit the corpus that they are trained on. Both give a first-order Markov model over 66 character classes; a long unbroken run of key
 characters is flagged when its mean log-likelihood ratio per transition reaches MIN_RATIO. Whole texts are scanned;
 the pattern spans always stay and the models add `markov` spans that overlap none of them.
 
 Defined cases: null and empty texts have no spans; a text of any length is scanned whole; repeated rows
-each come back; an empty table gives an empty result (the models then rest on the drawn words alone).
+each come back; spans that start together come in the order of KINDS; an empty table gives an empty result
+(the ordinary model is then uniform).
 """
 
 from __future__ import annotations
@@ -30,10 +31,8 @@ KINDS = ("assign", "access", "hex", "markov")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/")
-# Words that identifiers are commonly made of, the ordinary sample's share that is no corpus.
-NAMES = "get set user name value index table request handler service context factory manager config default count limit max min plain identifier connection application example org path file line test data list map key string number size type node item order account page content message event time date first last next".split()
 MAX_TRAIN_DOCS = 500
-MIN_RATIO = 0.5  # nats per transition
+MIN_RATIO = 1.0  # nats per transition
 
 _CLASS = np.full(128, 65, np.int64)
 for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_"):
@@ -74,12 +73,12 @@ def labelled_samples(texts: list[str], seed: int = 7) -> tuple[list[str], list[s
     rng = np.random.default_rng(seed)
     random = ["".join(rng.choice(list(a), int(rng.integers(20, 65)))) for a in ALPHABETS for _ in range(500)]
     words = [w for t in texts for w in re.findall(r"[A-Za-z]{2,20}", t)]
-    words = [words[i] for i in rng.permutation(len(words))][:57_000] + [w for _ in range(60) for w in rng.permutation(NAMES).tolist()]
+    words = [words[i] for i in rng.permutation(len(words))[:60_000]]
     joined = []
-    for i in range(0, min(len(words), 60_000) - 2, 3):
+    for i in range(0, len(words) - 2, 3):
         a = words[i : i + 3]
         joined.append(("_".join(a), "-".join(a).lower(), "/".join(a), a[0].lower() + a[1].title() + a[2].title(), "_".join(a).upper(), "".join(a).lower())[i // 3 % 6])
-    return random, joined + words[:60_000]
+    return random, joined + words
 
 
 def find_spans(text: str, model: MarkovPair, min_ratio: float = MIN_RATIO) -> tuple[list[tuple], list[tuple]]:
