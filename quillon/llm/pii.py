@@ -3,10 +3,15 @@
 Detected entities (e-mail addresses, phone numbers, payment cards, social security numbers, IPv4 addresses,
 IBANs, names after a title) are replaced by keyed surrogates: a SHA-256 of key, type, canonical form and
 attempt picks every new character, so digits stay digits, letters keep case and script, separators stay,
-cards keep their issuer digit and Luhn state, phones with a plus their country code, octets stay octets, names follow the gender of their title and
+cards keep their issuer digit and Luhn state, IBANs their country and whether their check digits hold, phones
+with a plus their country code, octets stay octets, names follow the gender of their title and
 their script. One canonical form (case folded, separators dropped; a phone's plus stays) has one surrogate
-everywhere, in the format of each place: characters are drawn by their rank among letters and digits. Name
-parts have theirs each, so "Mr. Ann Lee" and "Mr. Lee" still agree.
+everywhere, in the format of each place: characters are drawn by their rank among letters and digits.
+
+Names are found behind a title (up to three parts, with hyphens and apostrophes); every part of a titled name
+is then a name in the whole of its document, titled or not, so "Lee" and "Ann Lee" change with "Mrs. Ann Lee".
+Parts have a surrogate each. A given name takes its gender from any gendered title it has in the document, so
+"Dr. Ann Lee" and "Mrs. Ann Lee" agree there; in documents where only neutral titles stand, it has another.
 
 Distinctness is checked over the whole corpus: a pre-aggregated table of entities is computed, entities whose
 surrogate another entity has too, or that is itself a real entity, move on to their next attempt, until none
@@ -14,7 +19,7 @@ collide. With no entity past its first attempt the texts are rewritten without a
 attempts reach the texts by a join on the text's hash.
 
 Defined cases: a null text stays null, an empty one empty; whole texts are rewritten; repeated rows give
-repeated rows; other columns pass unchanged, whatever their names; an empty table gives an empty result.
+repeated rows; of entities that claim one surrogate (a tie) the one that sorts first has it; other columns pass unchanged, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ ROUNDS = 20
 MALE = "Mr|Herr|Señor|Sr|Monsieur|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Señora|Sra|Madame|Mme|Госпожа"
 NEUTRAL = "Dr|Prof"
+PART = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:-\p{Lu}\p{Ll}++)*+"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -38,11 +44,12 @@ PATTERNS = {
     "phone": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}(?![0-9A-Za-z])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "name": rf"(?<![\p{{L}}0-9])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"(?<![\p{{L}}0-9])(?:{MALE}|{FEMALE}|{NEUTRAL})\.? {PART}(?: {PART}){{0,2}}",
 }
 # The country codes of the numbering plan, so that they are found in a number without separators.
 COUNTRY = "^[+](1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+TITLED = f"^(?:{MALE}|{FEMALE}|{NEUTRAL})[.]? "
 SYLLABLES = {
     "latin": ["bal", "cor", "dan", "fel", "gar", "hol", "jas", "kel", "lor", "mar", "nol", "per", "ros", "sel", "tam", "vel"],
     "cyrillic": ["бал", "вер", "гор", "дан", "кал", "лев", "мар", "нол", "пет", "рос", "сел", "там", "фед", "хол", "юр", "яр"],
@@ -67,6 +74,20 @@ def _pick(seed: str, at: str, n: int) -> str:
     return f"pmod(xxhash64({seed}, {at}), {n})"
 
 
+def _parts() -> str:
+    """SQL: (part, kind) of every part of the titled names among the document's mentions."""
+    title = "substring_index(m, ' ', 1)"
+    given = f"CASE WHEN {title} rlike {_quote(f'^(?:{FEMALE})[.]?$')} THEN 'given_f' WHEN {title} rlike {_quote(f'^(?:{MALE})[.]?$')} THEN 'given_m' ELSE 'given_n' END"
+    each = f"transform(slice(split(m, ' '), 2, 4), (x, i) -> named_struct('part', x, 'kind', CASE WHEN i = size(split(m, ' ')) - 2 THEN 'surname' ELSE {given} END))"
+    return f"array_distinct(flatten(transform(filter(_found, m -> m rlike {_quote(TITLED)}), m -> {each})))"
+
+
+def _gender(part: str) -> str:
+    """SQL: the kind of a given name, by the gendered titles it has in the document."""
+    has = lambda k: f"exists(_parts, p -> p.part = {part} AND p.kind = '{k}')"
+    return f"CASE WHEN {has('given_f')} AND NOT {has('given_m')} THEN 'given_f' WHEN {has('given_m')} AND NOT {has('given_f')} THEN 'given_m' ELSE 'given_n' END"
+
+
 def _units(mention: str) -> str:
     """SQL: array of (type, canonical, shown) parts of a mention; type '' is literal."""
     t = lambda kind: f"{mention} rlike {_quote('^(?:' + PATTERNS[kind] + ')$')}"
@@ -74,10 +95,12 @@ def _units(mention: str) -> str:
     digits = f"regexp_replace({mention}, '[^0-9]', '')"
     part = lambda kind, x: f"named_struct('kind', {kind}, 'canon', lower({x}), 'shown', {x})"
     lit = lambda x: f"named_struct('kind', '', 'canon', '', 'shown', {x})"
+    kind = lambda x, i: f"CASE WHEN {i} = size({mention_parts}) - 1 THEN 'surname' ELSE {_gender(x)} END"
+    mention_parts = f"slice(split({mention}, ' '), 2, 4)"
+    titled = f"flatten(transform({mention_parts}, (x, i) -> array({lit(_quote(' '))}, {part(kind('x', 'i'), 'x')})))"
     title = f"substring_index({mention}, ' ', 1)"
-    given = f"CASE WHEN {title} rlike {_quote(f'^(?:{MALE})')} AND NOT {title} rlike {_quote(f'^(?:{FEMALE})')} THEN 'given_m' WHEN {title} rlike {_quote(f'^(?:{FEMALE})')} THEN 'given_f' ELSE 'given_n' END"
-    first, last = f"split({mention}, ' ')[1]", f"substring_index({mention}, ' ', -1)"
-    name = f"CASE WHEN size(split({mention}, ' ')) > 2 THEN array({lit(f'concat({title}, chr(32))')}, {part(given, first)}, {lit(_quote(' '))}, {part(_quote('surname'), last)}) ELSE array({lit(f'concat({title}, chr(32))')}, {part(_quote('surname'), last)}) END"
+    bare = f"array({part(f"CASE WHEN exists(_parts, p -> p.part = {mention} AND p.kind = 'surname') THEN 'surname' ELSE {_gender(mention)} END", mention)})"
+    name = f"CASE WHEN {mention} rlike {_quote(TITLED)} THEN concat(array({lit(title)}), {titled}) ELSE {bare} END"
     return (
         f"CASE WHEN {t('email')} THEN {one('email', f'lower({mention})')} WHEN {t('iban')} THEN {one('iban', f'replace({mention}, chr(32), {_quote("")})')} "
         f"WHEN {t('card')} THEN {one('card', digits)} WHEN {t('ssn')} THEN {one('ssn', digits)} WHEN {t('ip')} THEN {one('ip', mention)} "
@@ -106,6 +129,11 @@ def _let(names: dict[str, str], body: str, var: str) -> str:
     return f"element_at(transform(array(named_struct({fields})), {var} -> {body}), 1)"
 
 
+def _mod97(text: str) -> str:
+    """SQL: the number that a text of digits and letters (A is 10) stands for, modulo 97."""
+    return f"aggregate(split({text}, ''), 0L, (s, c) -> CASE WHEN c = '' THEN s WHEN c rlike '[0-9]' THEN (s * 10 + cast(c AS bigint)) % 97 ELSE (s * 100 + ascii(c) - 55) % 97 END)"
+
+
 def _luhn(digits: str) -> str:
     """SQL: the Luhn sum of a digit string modulo 10."""
     d = "cast(d AS bigint)"
@@ -130,9 +158,13 @@ def _surrogate(unit: str, attempt: str, key: str) -> str:
         f"concat(array_join(transform(sequence(1, 2 + q.attempt), i -> element_at({_words(SYLLABLES[script])}, cast(1 + {_pick('q.seed', 'i', 16)} AS int))), ''), "
         f"element_at(CASE q.kind " + " ".join(f"WHEN {_quote(k)} THEN {_words(v)}" for k, v in ENDINGS[script].items()) + f" ELSE array('') END, cast(1 + {_pick('q.seed', '0', 4)} AS int)))"
     )
+    # an IBAN: scramble what follows the check digits, then set these so that the remainder stays what it was
+    rest = "replace(w.body, chr(32), '')"
+    check = f"lpad(cast(2 + pmod({_mod97('concat(substring(q.canon, 5), substring(q.canon, 1, 4))')} - {_mod97(f"concat(substring({rest}, 5), substring({rest}, 1, 2), '00')")} - 2, 97) AS string), 2, '0')"
+    iban = _let({"body": _scrambled("q.shown", "q.seed", "r < 4", spaced=True)}, f"concat(substring(w.body, 1, 2), {check}, substring(w.body, 5))", "w")
     person = f"CASE WHEN q.shown rlike '[\\\\p{{IsCyrillic}}]' THEN {spelled('cyrillic')} WHEN q.shown rlike '[\\\\p{{IsGreek}}]' THEN {spelled('greek')} ELSE {spelled('latin')} END"
     same = _scrambled("q.shown", "q.seed", spaced=True)
-    made = f"CASE q.kind WHEN '' THEN q.shown WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {_scrambled('q.shown', 'q.seed', 'r < 2', spaced=True)} WHEN 'ssn' THEN {same} ELSE initcap({person}) END"
+    made = f"CASE q.kind WHEN '' THEN q.shown WHEN 'email' THEN {email} WHEN 'card' THEN {card} WHEN 'phone' THEN {phone} WHEN 'ip' THEN {ip} WHEN 'iban' THEN {iban} WHEN 'ssn' THEN {same} ELSE initcap({person}) END"
     return _let({"kind": f"{unit}.kind", "canon": f"{unit}.canon", "shown": f"{unit}.shown", "attempt": attempt, "seed": seed}, made.replace(host, "q.host"), "q").replace("named_struct('kind'", f"named_struct('host', {host}, 'kind'", 1)
 
 
@@ -142,9 +174,14 @@ def _canonical(unit: str) -> str:
 
 
 def with_entities(docs: DataFrame, text: str = "text", into: str = "_units") -> DataFrame:
-    """docs plus an array, one element per mention, of that mention's units."""
-    found = f"regexp_extract_all(cast(`{text}` AS string), {_quote(ALL)}, 0)"
-    return docs.withColumn("_mentions", F.expr(found)).withColumn(into, F.expr(f"transform(_mentions, m -> {_units('m')})"))
+    """docs plus `_mentions`, `_pattern` that finds them, and an array, one element per mention, of that mention's units."""
+    whole = f"cast(`{text}` AS string)"
+    found = docs.withColumn("_found", F.expr(f"regexp_extract_all({whole}, {_quote(ALL)}, 0)")).withColumn("_parts", F.expr(_parts()))
+    names = r"|(?<![\p{L}0-9])(?:"  # longer parts before those that begin them
+    bare = f"concat({_quote(ALL + names)}, array_join(sort_array(array_distinct(_parts.part), false), '|'), {_quote(r')(?![\p{L}0-9])')})"
+    rows = found.withColumn("_pattern", F.expr(f"CASE WHEN size(_parts) > 0 THEN {bare} END"))
+    rows = rows.withColumn("_mentions", F.expr(f"CASE WHEN _pattern IS NULL THEN _found ELSE regexp_extract_all({whole}, _pattern, 0) END"))
+    return rows.withColumn(into, F.expr(f"transform(_mentions, m -> {_units('m')})"))
 
 
 def attempts_of(docs: DataFrame, key: str = KEY) -> DataFrame | None:
@@ -182,10 +219,10 @@ def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
         attempt = "coalesce(_later[concat_ws('|', u.kind, u.canon)], 0)"
     made = f"transform(_units, us -> array_join(transform(us, u -> {_surrogate('u', attempt, key)}), ''))"
     rows = rows.withColumn("_made", F.when(F.size("_mentions") > 0, F.expr(made)))
-    around = f"split(cast(text AS string), {_quote(ALL)}, -1)"
+    around = f"(CASE WHEN _pattern IS NULL THEN split(cast(text AS string), {_quote(ALL)}, -1) ELSE split(cast(text AS string), _pattern, -1) END)"
     joined = f"array_join(zip_with({around}, _made, (p, m) -> concat(p, coalesce(m, ''))), '')"
     text = F.when(F.size("_mentions") > 0, F.expr(joined)).otherwise(F.col("text"))
-    kinds = F.expr("transform(_units, us -> CASE WHEN us[0].kind = '' THEN 'name' ELSE us[0].kind END)")
+    kinds = F.expr("transform(_units, us -> CASE WHEN us[0].kind IN ('', 'surname', 'given_m', 'given_f', 'given_n') THEN 'name' ELSE us[0].kind END)")
     return rows.select(*((text if c == "text" else F.col(f"_c{i}")).alias(c) for i, c in enumerate(names)), F.coalesce(kinds, F.array()).alias("_n_entities"))
 
 
