@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -32,12 +33,18 @@ def main() -> None:
     from quillon.queries import QUERIES
 
     QUERIES["ttest_welch"](spark, sf_dir).collect()  # warm the session
-    times = {}
+    times, failed = {}, {}
     for name in HEADLINE:
         began = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as error:  # one query's failure is reported beside the others' times
+            failed[name] = f"{type(error).__name__}: {error}"[:300]
+            print(f"{name}: failed, {failed[name]}", file=sys.stderr, flush=True)
+            continue
         times[name] = round(time.time() - began, 3)
-    print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+        print(f"{name}: {times[name]} s", file=sys.stderr, flush=True)
+    print(json.dumps({"metric": "headline queries, total wall time", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "failed": failed, "sf": os.path.basename(sf_dir.rstrip("/"))}))
     spark.stop()
 
 

@@ -46,12 +46,13 @@ def holm_bonferroni(df: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
     return df.join(adj, df[p].cast("double") == adj["_p"]).drop("_p").withColumn("significant", F.col("adjusted_p") <= alpha)
 
 
-def fdr_summary(df: DataFrame, name: str, p: str, alpha: float = 0.05) -> str:
-    """A text table of the adjusted tests, strongest first."""
-    rows = benjamini_hochberg(df, p, alpha).orderBy(p).collect()
+def fdr_summary(df: DataFrame, name: str, p: str, alpha: float = 0.05, top: int = 50) -> str:
+    """A text table of the `top` strongest adjusted tests, and counts over all of them."""
+    tests = benjamini_hochberg(df, p, alpha)
+    n, hits = tests.agg(F.count("*"), F.coalesce(F.sum(F.col("significant").cast("long")), F.lit(0))).first()
     lines = [f"{'test':<30} {'p':>10} {'adjusted':>10}  discovery"]
-    lines += [f"{str(r[name]):<30} {r[p]:>10.4g} {r['adjusted_p']:>10.4g}  {'yes' if r['significant'] else 'no'}" for r in rows]
-    return "\n".join([*lines, f"{sum(r['significant'] for r in rows)} of {len(rows)} at FDR {alpha}"])
+    lines += [f"{str(r[name]):<30} {r[p]:>10.4g} {r['adjusted_p']:>10.4g}  {'yes' if r['significant'] else 'no'}" for r in tests.orderBy(p, name).limit(top).collect()]
+    return "\n".join([*lines, *([f"and {n - top} weaker ones"] if n > top else []), f"{hits} of {n} at FDR {alpha}"])
 
 
 PROFILE = "group string, n long, normal boolean, normality_p double, n_outliers long, n_distinct long, min double, all_integer boolean"
@@ -247,11 +248,17 @@ def validate_conclusion(result: dict, alpha: float = 0.05) -> dict:
     return dict(is_trustworthy=len(issues) <= 1, confidence_level=level, issues=issues, strengths=strengths, overall=f"{len(issues)} concerns, {len(strengths)} strengths")
 
 
-def compare_methods(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
-    """The parametric and the rank test side by side, and whether they agree."""
+def compare_methods(df: DataFrame, value: str, group: str, alpha: float = 0.05, paired_with: str | None = None) -> DataFrame:
+    """The parametric and the rank test side by side, and whether they agree; with `paired_with` the two columns of a pair, without groups."""
+    if paired_with is not None:
+        return _side_by_side(parametric.paired(df, value, paired_with, alpha=alpha), nonparametric.wilcoxon_signed_rank(df, value, paired_with, alpha))
     k = df.select(group).distinct().count()
     para = parametric.two_sample(df, value, group, alpha=alpha) if k == 2 else parametric.one_way(df, value, group, alpha)
     rank = nonparametric.mann_whitney(df, value, group, alpha) if k == 2 else nonparametric.kruskal_wallis(df, value, group, alpha)
+    return _side_by_side(para, rank)
+
+
+def _side_by_side(para: DataFrame, rank: DataFrame) -> DataFrame:
     cols = ["test_name", "statistic", "p_value", "effect_size", "effect_label", "significant"]
     both = para.select(F.lit("parametric").alias("kind"), *cols).union(rank.select(F.lit("rank").alias("kind"), *cols))
     agree = both.agg((F.countDistinct("significant") == 1).alias("agreement"))

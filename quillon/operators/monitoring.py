@@ -69,7 +69,7 @@ def page_hinkley_detect(df: DataFrame, value: str, order: Sequence[str], directi
         plain = lambda v: v.asDict() if hasattr(v, "asDict") else v
         hit, last = plain(x["hit"]), plain(x["last"])
         use = hit or last
-        if x["n"] < 10:
+        if x["n"] < 20:  # too few to judge
             return dict(detected=False, direction=direction, cumulative_value=0.0, delta=ph_delta, lambda_=ph_lambda)
         return dict(detected=hit is not None, direction=direction, change_idx=hit["pos"] if hit else None, cumulative_value=round(use["c"], 4), min_cumulative=round(use["mn"], 4), delta=ph_delta, lambda_=ph_lambda)
 

@@ -26,14 +26,16 @@ def rank_groups(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
     per = per.join(med, [*by, group])
     g = per.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col(group).cast("string").alias("label"), "n", "rank_sum", "median"))).alias("g"))
     # each value's tie is spread over the groups that have it: weigh by cnt / tie
-    ties = t.groupBy(*by).agg(F.sum(F.col("cnt") * (F.col("tie") * F.col("tie") - 1)).cast("double").alias("ties"))
+    ties = t.groupBy(*by).agg(F.sum(F.col("cnt") * (F.pow("tie", F.lit(2.0)) - 1)).alias("ties"))
     return g.join(ties, list(by)) if by else g.crossJoin(F.broadcast(ties))
 
 
-def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str]) -> float:
-    """Median of all differences x - y without forming them: bisection on their counted number, one aggregate a step.
+def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str], most_pairs: int = 4_000_000) -> float:
+    """Median of all differences x - y: the mean of the two middle ones, at every size.
 
-    Both samples' value tables are range-counted against each other through sorted running counts.
+    With few distinct values the differences of these are weighed on the driver; else the two middle ones are
+    found by bisection on the counted number of differences, one aggregate a step, to 1e-12 of their range. For
+    that both samples' values are range-counted against each other through sorted running counts.
     """
     rows = clean(df, [value], [group]).filter(F.col(group).cast("string").isin(list(labels)))
     lo, hi = rows.agg(F.min(value), F.max(value)).first()
@@ -52,7 +54,7 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str
         full = inside.join(F.broadcast(offsets), "_r")
         return int(full.agg(F.sum(F.col("w") * (F.col("above") + F.col("above_range")))).first()[0] or 0)
 
-    if a.count() * b.count() <= 4_000_000:  # few distinct values: their table is small on the driver
+    if a.count() * b.count() <= most_pairs:
         xa, xb = a.toPandas(), b.toPandas()
         diff = np.subtract.outer(xa[value].to_numpy(), xb[value].to_numpy()).ravel()
         weight = np.multiply.outer(xa["w"].to_numpy(), xb["w"].to_numpy()).ravel()
@@ -60,13 +62,14 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str
         run = np.cumsum(weight[order])
         at = lambda k: diff[order][np.searchsorted(run, k)]
         return float((at((n + 1) // 2) + at(n // 2 + 1)) / 2)
-    low, high = lo - hi, hi - lo
-    for _ in range(60):
-        mid = (low + high) / 2
-        low, high = (mid, high) if count(mid) * 2 < n else (low, mid)
-        if high - low < 1e-9 * max(1.0, abs(high)):
-            break
-    return (low + high) / 2
+    found = []
+    for k in sorted({(n + 1) // 2, n // 2 + 1}):
+        low, high = lo - hi, hi - lo
+        while high - low > 1e-12 * max(hi - lo, 1e-300) and low < (low + high) / 2 < high:
+            mid = (low + high) / 2
+            low, high = (mid, high) if count(mid) < k else (low, mid)
+        found.append(high)
+    return (found[0] + found[-1]) / 2
 
 
 def mann_whitney_from(a: dict, b: dict, ties: float, alpha: float, alternative: str = "two-sided") -> dict:
@@ -123,7 +126,7 @@ def wilcoxon_signed_rank(df: DataFrame, x1: str, x2: str | None = None, alpha: f
     rows = rows.withColumn("_d", F.col(x1) - F.col(x2) if x2 else F.col(x1)).withColumn("_s", F.signum("_d")).withColumn("_a", F.abs("_d"))
     base = rows.groupBy(*by).agg(F.count("*").alias("all"), F.median(x1).alias("m1"), *([F.median(x2).alias("m2")] if x2 else []), F.median("_d").alias("md"))
     t = value_table(rows.filter("_d <> 0"), "_a", "_s", by)
-    sums = t.groupBy(*by).agg(F.sum("cnt").alias("n"), F.sum(F.when(F.col("_s") > 0, F.col("cnt") * mid_rank()).otherwise(0.0)).alias("plus"), F.sum(F.col("cnt") * mid_rank()).alias("total"), F.sum(F.col("cnt") * (F.col("tie") * F.col("tie") - 1)).cast("double").alias("ties"))
+    sums = t.groupBy(*by).agg(F.sum("cnt").alias("n"), F.sum(F.when(F.col("_s") > 0, F.col("cnt") * mid_rank()).otherwise(0.0)).alias("plus"), F.sum(F.col("cnt") * mid_rank()).alias("total"), F.sum(F.col("cnt") * (F.pow("tie", F.lit(2.0)) - 1)).alias("ties"))
     stats = base.join(sums, list(by), "left") if by else base.crossJoin(F.broadcast(sums))
 
     def close(r):

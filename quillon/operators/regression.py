@@ -120,7 +120,8 @@ def residual_diagnostics(diagnosed: DataFrame) -> list[dict]:
 
     out = [residual_vs_fitted(diagnosed), qq_spec(diagnosed, "residual"), histogram_spec(diagnosed, "residual", "Residuals")]
     if "pos" in diagnosed.columns:
-        few = diagnosed.select("pos", "residual").orderBy("pos").limit(500).collect()
+        every = max(1, -(-diagnosed.count() // 500))  # evenly over the whole order
+        few = diagnosed.filter(F.col("pos") % every == 0).select("pos", "residual").orderBy("pos").collect()
         out.append(dict(title="Residuals vs order", chart_type="line", traces=[dict(x=[r[0] for r in few], y=[r[1] for r in few])]))
     return out
 
@@ -148,7 +149,7 @@ def best_subsets(df: DataFrame, y: str, features: Sequence[str], max_predictors:
 
 
 def stepwise(df: DataFrame, y: str, features: Sequence[str], method: str = "both", alpha_enter: float = 0.05, alpha_remove: float = 0.1, max_steps: int = 100) -> DataFrame:
-    """Steps by p-value over one Gram scan: (step, action, feature, p_value, r_squared, selected)."""
+    """Steps by p-value over one Gram scan: (step, action, feature, p_value, r_squared, selected); the last row, `final`, is the model kept."""
     p = len(features)
     n, mean, s = unpack_gram(gram(df, [*features, y]).first().asDict(), p + 1)
 
@@ -181,6 +182,8 @@ def stepwise(df: DataFrame, y: str, features: Sequence[str], method: str = "both
                 moved = True
         if not moved:
             break
+    kept = ols_from(n, mean, s, chosen)["r2"] if chosen else 0.0
+    steps.append(dict(step=len(steps) + 1, action="final", r_squared=kept, selected=[features[j] for j in chosen]))
     return frame(df, steps, "step long, action string, feature string, p_value double, r_squared double, selected array<string>")
 
 

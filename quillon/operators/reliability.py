@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import special as S
 from quillon.operators.parametric import need
 from quillon.operators.regression import solve
-from quillon.plans.stats import clean, finish, frame, num, value_table
+from quillon.plans.stats import clean, cumulate, finish, frame, num, ordered, value_table
 
 CURVE = "time double, at_risk long, events long, censored long, survival double, se double, ci_lower double, ci_upper double"
 
@@ -27,17 +27,18 @@ def event_table(df: DataFrame, time: str, event: str | None, by: Sequence[str] =
 def kaplan_meier(df: DataFrame, time: str, event: str | None = None, ci_level: float = 0.95, by: Sequence[str] = ()) -> DataFrame:
     """The curve, one row per event time, preceded by time 0; Greenwood errors, plain limits clipped to [0, 1].
 
-    Windows run over distinct times (one row each), not over subjects.
+    Running sums go over distinct times (one row each); without `by` they are two-level, so no task holds them all.
     """
     t = event_table(df, time, event, by)
-    w = Window.partitionBy(*by, F.lit(0)).orderBy("time")
-    total = F.sum(F.col("events") + F.col("censored")).over(Window.partitionBy(*by, F.lit(0)))
-    seen = F.sum(F.col("events") + F.col("censored")).over(w)
-    at = t.withColumn("n_total", total).withColumn("at_risk", total - seen + F.col("events") + F.col("censored"))
-    frac = F.col("events") / F.col("at_risk")
+    here = (F.col("events") + F.col("censored")).cast("double")
+    totals = t.groupBy(*by).agg(F.sum(here).alias("n_total"))
+    rows = t.join(F.broadcast(totals), list(by)) if by else ordered(t.crossJoin(F.broadcast(totals)), ["time"])
+    at = cumulate(rows, by, "time", {"_seen": here}).withColumn("_risk", F.col("n_total") - F.col("_seen") + here)
+    d, n = F.col("events"), F.col("_risk")
+    sums = {"_log": F.when(d < n, F.log1p(-d / n)).otherwise(0.0), "_green": F.when(n > d, d / (n * (n - d))).otherwise(0.0), "_dead": F.when(d == n, 1.0).otherwise(0.0)}
+    at = cumulate(at, by, "time", sums).withColumn("at_risk", n.cast("long"))
     z = S.norm_ppf(0.5 + ci_level / 2)
-    alive = F.when(F.max(F.when(F.col("events") == F.col("at_risk"), 1).otherwise(0)).over(w) == 1, 0.0).otherwise(F.exp(F.sum(F.when(frac < 1, F.log1p(-frac)).otherwise(0.0)).over(w)))
-    green = F.sum(F.when(F.col("at_risk") > F.col("events"), F.col("events") / (F.col("at_risk") * (F.col("at_risk") - F.col("events")))).otherwise(0.0)).over(w)
+    alive, green = F.when(F.col("_dead") > 0, 0.0).otherwise(F.exp("_log")), F.col("_green")
     out = at.withColumn("survival", alive).withColumn("se", F.col("survival") * F.sqrt(green)).filter("events > 0")
     out = out.withColumn("ci_lower", F.greatest(F.lit(0.0), F.col("survival") - z * F.col("se"))).withColumn("ci_upper", F.least(F.lit(1.0), F.col("survival") + z * F.col("se")))
     cols = [*by, "time", "at_risk", "events", "censored", "survival", "se", "ci_lower", "ci_upper"]
@@ -64,11 +65,11 @@ def log_rank_test(df: DataFrame, time: str, event: str | None, group: str, compa
     per = t.groupBy("time").agg(F.sum("events").alias("d"), F.sum(F.when(one, F.col("events")).otherwise(0)).alias("d1"), F.sum(F.col("events") + F.col("censored")).alias("x"), F.sum(F.when(one, F.col("events") + F.col("censored")).otherwise(0)).alias("x1"))
     if compat:
         per = per.filter("d > 0")
-    w = Window.orderBy("time")  # over distinct times
     totals = t.agg(F.sum(F.col("events") + F.col("censored")).alias("N"), F.sum(F.when(one, F.col("events") + F.col("censored")).otherwise(0)).alias("N1"))
-    r = per.crossJoin(F.broadcast(totals)).withColumn("n", F.col("N") - F.sum("x").over(w) + F.col("x")).withColumn("n1", F.col("N1") - F.sum("x1").over(w) + F.col("x1")).filter("d > 0 AND n > 0")
-    d, n, n1 = F.col("d"), F.col("n"), F.col("n1")
-    s = r.agg(F.sum("d1").alias("o1"), F.sum(d * n1 / n).alias("e1"), F.sum("d").alias("o"), F.sum(F.when(n > 1, n1 * (n - n1) * d * (n - d) / (n * n * (n - 1))).otherwise(0.0)).alias("v"))
+    run = cumulate(ordered(per, ["time"]), (), "time", {"_x": F.col("x").cast("double"), "_x1": F.col("x1").cast("double")})
+    r = run.crossJoin(F.broadcast(totals)).withColumn("n", F.col("N") - F.col("_x") + F.col("x")).withColumn("n1", F.col("N1") - F.col("_x1") + F.col("x1")).filter("d > 0 AND n > 0")
+    d, n, share = F.col("d").cast("double"), F.col("n"), F.col("n1") / F.col("n")  # doubles: the products pass a long
+    s = r.agg(F.sum("d1").alias("o1"), F.sum(d * share).alias("e1"), F.sum("d").alias("o"), F.sum(F.when(n > 1, share * (1 - share) * d * (n - d) / (n - 1)).otherwise(0.0)).alias("v"))
 
     def close(x):
         chi = (x["o1"] - x["e1"]) ** 2 / x["v"] if x["v"] else 0.0
@@ -90,8 +91,8 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[str], max_
         score = sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
         per = rows.select(time, "_e", F.exp(score).alias("r"), score.alias("xb"), *(c.alias(f"x{i}") for i, c in enumerate(x)))
         per = per.groupBy(time).agg(F.sum("_e").alias("d"), F.sum(F.col("_e") * F.col("xb")).alias("dxb"), F.sum("r").alias("r0"), *(F.sum(F.col("_e") * F.col(f"x{i}")).alias(f"d{i}") for i in range(p)), *(F.sum(F.col("r") * F.col(f"x{i}")).alias(f"r{i + 1}") for i in range(p)), *(F.sum(F.col("r") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"r_{i}_{j}") for i, j in pairs))
-        w = Window.orderBy(F.desc(time))
-        risk = per.select("d", "dxb", *(f"d{i}" for i in range(p)), F.sum("r0").over(w).alias("risk"), *(F.sum(f"r{i + 1}").over(w).alias(f"s{i}") for i in range(p)), *(F.sum(f"r_{i}_{j}").over(w).alias(f"s_{i}_{j}") for i, j in pairs)).filter("d > 0")
+        per = ordered(per.withColumn("_back", -F.col(time)), ["_back"])
+        risk = cumulate(per, (), "_back", {"risk": F.col("r0")} | {f"s{i}": F.col(f"r{i + 1}") for i in range(p)} | {f"s_{i}_{j}": F.col(f"r_{i}_{j}") for i, j in pairs}).filter("d > 0")
         a = lambda i: F.col(f"s{i}") / F.col("risk")
         got = risk.agg(F.sum(F.col("dxb") - F.col("d") * F.log("risk")).alias("ll"), *(F.sum(F.col(f"d{i}") - F.col("d") * a(i)).alias(f"u{i}") for i in range(p)), *(F.sum(F.col("d") * (F.col(f"s_{i}_{j}") / F.col("risk") - a(i) * a(j))).alias(f"h{i}_{j}") for i, j in pairs)).first().asDict()
         info = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])

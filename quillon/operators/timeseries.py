@@ -18,10 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions import special as S
 from quillon.operators.parametric import need
 from quillon.operators.regression import ols_from
-from quillon.plans.stats import clean, finish, frame, gram, ordered, unpack_gram
-
-BLOCK = 65_536
-
+from quillon.plans.stats import BLOCK, clean, finish, frame, gram, ordered, running, unpack_gram
 
 def positioned(df: DataFrame, values: Sequence[str], order: Sequence[str]) -> DataFrame:
     """pos and the values as doubles, rows with missing values left out."""
@@ -48,21 +45,6 @@ def with_lags(rows: DataFrame, value: str, lags: Sequence[int], prefix: str = "l
     return out.filter(~F.col("ctx")).drop("block", "ctx")
 
 
-def running(rows: DataFrame, sums: dict) -> DataFrame:
-    """rows (with pos) plus running sums from the start, two-level over blocks."""
-    r = rows.withColumn("block", F.floor(F.col("pos") / BLOCK))
-    for name, c in sums.items():
-        r = r.withColumn(f"_x{name}", c)
-    totals = r.groupBy("block").agg(*(F.sum(f"_x{n}").alias(f"_t{n}") for n in sums))
-    o = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
-    offs = totals.select("block", *(F.coalesce(F.sum(f"_t{n}").over(o), F.lit(0.0)).alias(f"_o{n}") for n in sums))
-    w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = r.join(offs, "block")
-    for n in sums:
-        out = out.withColumn(n, F.sum(f"_x{n}").over(w) + F.col(f"_o{n}"))
-    return out.drop("block", *(f"_x{n}" for n in sums), *(f"_o{n}" for n in sums))
-
-
 def acf_pacf(df: DataFrame, value: str, order: Sequence[str], n_lags: int = 20, ljung_box_lag: int | None = None) -> DataFrame:
     """A row per lag: acf, pacf, significance, with the bound, Ljung-Box p and suggested orders beside them."""
     rows = positioned(df, [value], order)

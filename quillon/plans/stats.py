@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BLOCK = 65_536  # positions that running sums and lags take together
 EDGES = 127  # value ranges that a global order is dealt into
 
 
@@ -164,3 +165,26 @@ def ordered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: s
     offsets = totals.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_off"))
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.withColumn(name, inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_off")).drop("_range", "_off", "_key")
+
+
+def running(rows: DataFrame, sums: dict) -> DataFrame:
+    """rows (with pos) plus running sums from the start, two-level over blocks."""
+    r = rows.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    for name, c in sums.items():
+        r = r.withColumn(f"_x{name}", c)
+    totals = r.groupBy("block").agg(*(F.sum(f"_x{n}").alias(f"_t{n}") for n in sums))
+    o = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    offs = totals.select("block", *(F.coalesce(F.sum(f"_t{n}").over(o), F.lit(0.0)).alias(f"_o{n}") for n in sums))
+    w = Window.partitionBy("block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    out = r.join(offs, "block")
+    for n in sums:
+        out = out.withColumn(n, F.sum(f"_x{n}").over(w) + F.col(f"_o{n}"))
+    return out.drop("block", *(f"_x{n}" for n in sums), *(f"_o{n}" for n in sums))
+
+
+def cumulate(rows: DataFrame, by: Sequence[str], order: str, sums: dict) -> DataFrame:
+    """rows plus running sums in the given order: windows within `by`, else two-level over pos (see ordered())."""
+    if not by:
+        return running(rows, sums)
+    w = Window.partitionBy(*by).orderBy(order)
+    return rows.select("*", *(F.sum(c).over(w).alias(n) for n, c in sums.items()))
