@@ -25,8 +25,9 @@ def positioned(df: DataFrame, values: Sequence[str], order: Sequence[str]) -> Da
     return ordered(clean(df, values, order), order).select("pos", *values)
 
 
-def blocked(rows: DataFrame, before: int, after: int = 0, size: int = BLOCK) -> DataFrame:
+def blocked(rows: DataFrame, before: int, after: int = 0) -> DataFrame:
     """Rows with a block number, repeated as context (`ctx`) in the blocks that look back (or ahead) to them."""
+    size = max(BLOCK, before, after)
     b = F.floor(F.col("pos") / size)
     at = F.pmod(F.col("pos"), F.lit(size))
     copies = F.array(F.struct(b.alias("block"), F.lit(False).alias("ctx")))

@@ -611,3 +611,5 @@ _reg("power_anova", lambda s, d: power.power_anova(s, 0.25, 3, power=0.8))
 _reg("power_proportion", lambda s, d: power.power_proportion(s, 0.6, p0=0.5, power=0.8))
 _reg("power_chi2", lambda s, d: power.power_chi_square(s, 0.3, 4, power=0.8))
 _reg("power_equivalence", lambda s, d: power.power_equivalence(s, 0.0, 0.5, power=0.8))
+
+from quillon import more_queries  # noqa: E402, F401  adds to QUERIES and ORACLES

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import bayesian, core, exploratory, intelligence, monitoring, msa, nonparametric, parametric, power, quality, regression, reliability, sequential, timeseries
+from quillon.plans import stats
 from quillon.queries import QUERIES
 
 
@@ -242,6 +243,7 @@ def test_fleiss_rates_every_row(spark, tmp_path):
 
 
 def test_series(spark, rng, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 64)
     monkeypatch.setattr(timeseries, "BLOCK", 64)  # several blocks even here
     x = rng.normal(size=200)
     df = series(spark, x, y=np.r_[0, 0, 0.9 * x[:-2]] + rng.normal(0, 0.2, 200))
@@ -273,6 +275,7 @@ def test_series(spark, rng, monkeypatch):
 
 
 def test_page_hinkley_and_eprocess_match_loops(spark, rng, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK", 64)
     monkeypatch.setattr(timeseries, "BLOCK", 64)
     x = np.r_[rng.normal(0, 1, 300), rng.normal(3, 1, 300)]
     z, run, cum, low, hit = (x - x.mean()) / x.std(), 0.0, 0.0, 0.0, None
@@ -358,3 +361,44 @@ def test_cohens_d(spark):
     assert one(core.cohens_d_two_sample(g, "value", "group"))["cohens_d"] == pytest.approx(-8 / math.sqrt(6))
     assert one(core.cohens_d_one_sample(g.filter("group = 'a'"), "value", 13.5))["cohens_d"] == 0
     assert one(core.cohens_d_paired(spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "x double, y double"), "x", "y"))["cohens_d"] == 0
+
+
+def test_large_counts_stay_exact(spark):
+    """Ten million rows with few distinct values: products of counts pass a long."""
+    n = 10_000_000
+    rows = spark.range(n).select((F.col("id") % 3).cast("double").alias("v"), (F.col("id") % 2).cast("string").alias("g"), F.lit(True).alias("e"))
+    h = nonparametric.kruskal_wallis(rows, "v", "g").first()
+    assert 0 <= h["statistic"] < 1 and h["p_value"] > 0.3
+    r = reliability.log_rank_test(rows, "v", "e", "g").first()
+    sizes = [[0.0, 0.0] for _ in range(3)]
+    for v in range(3):
+        for g in range(2):
+            sizes[v][g] = float(len(range((v * 4 + g * 3) % 6, n, 6)))  # ids with id % 3 = v and id % 2 = g
+    o = e = var = 0.0
+    left = [sum(s[g] for s in sizes) for g in range(2)]
+    for s in sizes:
+        d, m = sum(s), sum(left)
+        o, e = o + s[0], e + d * left[0] / m
+        var += left[0] / m * left[1] / m * d * (m - d) / (m - 1)
+        left = [a - b for a, b in zip(left, s)]
+    assert math.isclose(r["chi_square"], (o - e) ** 2 / var, rel_tol=1e-6, abs_tol=1e-9)
+    curve = reliability.kaplan_meier(rows, "v", "e").orderBy("time").collect()
+    assert [x["at_risk"] for x in curve if x["events"]] == [n, n - sum(sizes[0]), sum(sizes[2])]
+
+
+def test_hodges_lehmann_is_one_estimator(spark):
+    rng = np.random.default_rng(3)
+    for sizes in ((6, 8), (7, 9)):
+        x, y = rng.normal(size=sizes[0]).round(1), rng.normal(1, 1, sizes[1]).round(1)
+        df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", float(v)) for v in y], "g string, v double")
+        want = float(np.median(np.subtract.outer(x, y)))
+        assert math.isclose(nonparametric.hodges_lehmann(df, "v", "g", ("a", "b")), want, abs_tol=1e-9)
+    assert math.isclose(nonparametric.hodges_lehmann(df, "v", "g", ("a", "b"), most_pairs=0), want, abs_tol=1e-9)
+
+
+def test_small_streams_and_empty_models(spark):
+    jump = spark.createDataFrame([(i, 0.0 if i < 8 else 100.0) for i in range(15)], "pos long, v double")
+    assert not monitoring.page_hinkley_detect(jump, "v", ["pos"], ph_lambda=0.5).first()["detected"]
+    noise = spark.createDataFrame([(float(i % 2), float(i % 3)) for i in range(60)], "x double, y double")
+    last = regression.stepwise(noise, "y", ["x"]).collect()[-1]
+    assert last["action"] == "final" and last["selected"] == [] and last["r_squared"] == 0.0
