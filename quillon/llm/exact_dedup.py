@@ -192,10 +192,11 @@ def keep_first(docs: DataFrame) -> DataFrame:
     names = docs.columns
     flat = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(names)))
     own, text = f"_c{names.index('doc_id')}", F.coalesce(F.col(f"_c{names.index('text')}").cast("string"), F.lit(""))
-    rows = flat.withColumn("_sha", F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256)).withColumn("_id", F.col(own).cast("long"))
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha")).distinct()
-    rows = rows.join(kept, (rows["_sha"] == kept["_kept_sha"]) & rows["_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.length(text).desc()))
+    key = lambda sha, i: F.concat_ws("|", sha, F.coalesce(F.col(i).cast("long").cast("string"), F.lit("none")))  # noqa: E731  one column, so that join and window share an exchange
+    rows = flat.withColumn("_key", key(F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256), own))
+    kept = exact_dedup(docs).filter("kept").select(key(F.col("text_sha256"), "doc_id").alias("_key")).distinct()
+    rows = rows.join(kept, "_key", "left_semi")
+    once = F.row_number().over(Window.partitionBy("_key").orderBy(F.length(text).desc()))
     return rows.withColumn("_nth", once).filter("_nth = 1").select(*(F.col(f"_c{i}").alias(c) for i, c in enumerate(names)))
 
 

@@ -77,6 +77,16 @@ def test_exact_dedup_repeated_rows(spark):
     assert sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in out) == [(1, 2, 3), (1, 2, 3), (2, 2, 3)]
 
 
+def test_kept_rows_of_one_id(spark):
+    """Of rows with one doc_id and equal texts the longest stays, once; a null doc_id counts as an id; clashing names pass."""
+    rows = spark.createDataFrame([(1, "a b", 1), (1, "a  b", 2), (1, "a b", 3), (2, "ab", 4), (1, "other", 5), (None, None, 6), (None, "", 7)], "doc_id long, text string, _key int")
+    kept = exact_dedup.keep_first(rows)
+    assert kept.columns == rows.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == [(0, ""), (1, "a  b"), (1, "other")]
+    assert exact_dedup.keep_first(rows.filter("_key < 0")).count() == 0
+
+
 def test_trie_spills_by_subtree():
     rng = random.Random(5)
     keys = [bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 30))) for _ in range(3000)]
