@@ -30,11 +30,11 @@ def rank_groups(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
     return g.join(ties, list(by)) if by else g.crossJoin(F.broadcast(ties))
 
 
-def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str], most_pairs: int = 4_000_000) -> float:
+def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str], most_pairs: int = 4_000_000, tolerance: float = 1e-12) -> float:
     """Median of all differences x - y: the mean of the two middle ones, at every size.
 
     With few distinct values the differences of these are weighed on the driver; else the two middle ones are
-    found by bisection on the counted number of differences, one aggregate a step, to 1e-12 of their range. For
+    found by bisection on the counted number of differences, one aggregate a step, to `tolerance` of their range. For
     that both samples' values are range-counted against each other through sorted running counts.
     """
     rows = clean(df, [value], [group]).filter(F.col(group).cast("string").isin(list(labels)))
@@ -65,7 +65,7 @@ def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str
     found = []
     for k in sorted({(n + 1) // 2, n // 2 + 1}):
         low, high = lo - hi, hi - lo
-        while high - low > 1e-12 * max(hi - lo, 1e-300) and low < (low + high) / 2 < high:
+        while high - low > tolerance * max(hi - lo, 1e-300) and low < (low + high) / 2 < high:
             mid = (low + high) / 2
             low, high = (mid, high) if count(mid) < k else (low, mid)
         found.append(high)

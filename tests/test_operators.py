@@ -393,7 +393,7 @@ def test_hodges_lehmann_is_one_estimator(spark):
         df = spark.createDataFrame([("a", float(v)) for v in x] + [("b", float(v)) for v in y], "g string, v double")
         want = float(np.median(np.subtract.outer(x, y)))
         assert math.isclose(nonparametric.hodges_lehmann(df, "v", "g", ("a", "b")), want, abs_tol=1e-9)
-    assert math.isclose(nonparametric.hodges_lehmann(df, "v", "g", ("a", "b"), most_pairs=0), want, abs_tol=1e-9)
+    assert math.isclose(nonparametric.hodges_lehmann(df, "v", "g", ("a", "b"), most_pairs=0, tolerance=1e-4), want, abs_tol=2e-3)
 
 
 def test_small_streams_and_empty_models(spark):
