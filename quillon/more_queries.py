@@ -436,6 +436,11 @@ def _(spark, d):
     return reliability.cox_ph(lifetimes(spark, d), "time", "event", ["l_discount"]).select("coefficient", "hazard_ratio")
 
 
+@query("cox_concordance", f"WITH g AS MATERIALIZED (SELECT l_quantity tm, l_discount x, count(*)+0.0 n, count(*) FILTER (l_linestatus='F')+0.0 d FROM lineitem GROUP BY 1,2), {newton('SELECT 0.0', COX, 'b', 7)} SELECT {R('sum(p.d*q.n*CASE WHEN b*p.x > b*q.x THEN 1.0 WHEN p.x = q.x THEN 0.5 ELSE 0.0 END)/sum(p.d*q.n)')} AS concordance FROM g p JOIN g q ON p.tm < q.tm, it7")
+def _(spark, d):
+    return reliability.cox_ph(lifetimes(spark, d), "time", "event", ["l_discount"]).select("concordance")
+
+
 @query("hazard_exponential", f"SELECT p_partkey, {R('1/20.0')} AS hazard FROM part")
 def _(spark, d):
     return reliability.hazard_function(t(spark, d, "part"), "p_size", 1.0, 20.0, "exponential").select("p_partkey", "hazard")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import effects as E
 from quillon.functions import special as S
+from quillon.plans.pairs import pair_order
 from quillon.plans.stats import clean, dicts, finish, frame, gram, group_stats, mid_rank, moments, num, unpack_gram, value_table, var0
 
 TEST = "test_name string, statistic double, p_value double, df double, ci_lower double, ci_upper double, effect_size double, effect_size_type string, effect_label string, significant boolean"
@@ -366,51 +367,27 @@ def rank_pair(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kendall_pair(df: DataFrame, a: str, b: str, alpha: float) -> dict:
-    """Tau-b from the table of distinct value pairs; discordance is counted by merge sort on the driver over distinct pairs."""
-    counts = clean(df, [a, b]).groupBy(a, b).count().orderBy(a, b).toPandas()
-    x, y, w = counts[a].to_numpy(), counts[b].to_numpy(), counts["count"].to_numpy().astype(float)
-    n = w.sum()
-    _, yi = np.unique(y, return_inverse=True)
-    tree = np.zeros(yi.max() + 2 if len(yi) else 1)
-    con = dis = 0.0
-    start = 0
-    while start < len(x):
-        end = start
-        while end < len(x) and x[end] == x[start]:
-            end += 1
-        for i in range(start, end):
-            less = _prefix(tree, yi[i])
-            con += w[i] * less
-            dis += w[i] * (_prefix(tree, len(tree) - 1) - _prefix(tree, yi[i] + 1))
-        for i in range(start, end):
-            j = yi[i] + 1
-            while j < len(tree):
-                tree[j] += w[i]
-                j += j & -j
-        start = end
-    ties = lambda v: sum(t * (t - 1) / 2 for t in counts.assign(v=v).groupby("v")["count"].sum())
-    tx, ty, pairs = ties(x), ties(y), n * (n - 1) / 2
+    """Tau-b: concordant and discordant pairs are counted in blocks (plans/pairs.py), ties from the counts of each value."""
+    rows = clean(df, [a, b])
+    order = pair_order(rows, a, b, F.lit(1), F.lit(1))
+    con, dis = order["less"], order["more"]
+
+    def ties(c: str) -> list[float]:
+        t = F.col("count").cast("double")
+        return [float(v or 0) for v in rows.groupBy(c).count().agg(F.sum(t), F.sum(t * (t - 1)), F.sum(t * (t - 1) * (t - 2)), F.sum(t * (t - 1) * (2 * t + 5))).first()]
+
+    (n, x2, x3, xv), (_, y2, y3, yv) = ties(a), ties(b)
+    tx, ty, pairs = x2 / 2, y2 / 2, n * (n - 1) / 2
     tau = (con - dis) / math.sqrt((pairs - tx) * (pairs - ty)) if pairs > tx and pairs > ty else math.nan
     if tx == ty == 0 and (n <= 33 or min(dis, pairs - dis) <= 1):
         p = S.kendall_exact(int(dis), int(n))
     else:
-        g = [counts.assign(v=v).groupby("v")["count"].sum().to_numpy().astype(float) for v in (x, y)]
-        v0, vt, vu = n * (n - 1) * (2 * n + 5), *((t * (t - 1) * (2 * t + 5)).sum() for t in g)
-        t2, t3 = [(t * (t - 1)).sum() for t in g], [(t * (t - 1) * (t - 2)).sum() for t in g]
-        var = (v0 - vt - vu) / 18 + t2[0] * t2[1] / (2 * n * (n - 1)) + t3[0] * t3[1] / (9 * n * (n - 1) * (n - 2))
+        var = (n * (n - 1) * (2 * n + 5) - xv - yv) / 18 + x2 * y2 / (2 * n * (n - 1)) + x3 * y3 / (9 * n * (n - 1) * (n - 2))
         p = 2 * S.norm_sf(abs(con - dis) / math.sqrt(var))
     lo, hi = fisher_z(tau, int(n), 1 - alpha)
     return dict(var1=a, var2=b, r=tau, p_value=p, n=int(n), ci_lower=lo, ci_upper=hi, r_squared=tau * tau, significant=p < alpha)
 
 
-def _prefix(tree: np.ndarray, i: int) -> float:
-    total = 0.0
-    while i > 0:
-        total += tree[i]
-        i -= i & -i
-    return total
-
-
 def repeated_measures_anova(df: DataFrame, value: str, subject: str, condition: str, compat: bool = False) -> DataFrame:
     """Within-subject F with Greenhouse-Geisser correction and Mauchly's test; subjects need every condition once (means are taken)."""
     rows = clean(df, [value], [subject, condition]).groupBy(subject, F.col(condition).cast("string").alias("c")).agg(F.avg(value).alias("y"))

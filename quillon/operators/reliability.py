@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import special as S
 from quillon.operators.parametric import need
 from quillon.operators.regression import solve
+from quillon.plans.pairs import pair_order
 from quillon.plans.stats import clean, cumulate, finish, frame, num, ordered, value_table
 
 CURVE = "time double, at_risk long, events long, censored long, survival double, se double, ci_lower double, ci_upper double"
@@ -79,7 +80,10 @@ def log_rank_test(df: DataFrame, time: str, event: str | None, group: str, compa
 
 
 def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[str], max_iter: int = 30) -> DataFrame:
-    """Breslow partial likelihood by Newton steps. Rows are first summed by time; risk-set sums are running sums over distinct times."""
+    """Breslow partial likelihood by Newton steps. Rows are first summed by time; risk-set sums are running sums over distinct times.
+
+    concordance is Harrell's: of the pairs where the earlier time is an event, the share with the higher risk there (equal risks: half).
+    """
     rows = clean(df, [time, *covariates], [event]).withColumn("_e", F.coalesce(F.col(event).cast("int"), F.lit(0))).cache()
     st = rows.agg(F.count("*").alias("n"), F.sum("_e").alias("d"), *(f(c).alias(f"{t}{i}") for i, c in enumerate(covariates) for t, f in (("m", F.avg), ("s", F.stddev_pop)))).first().asDict()
     p = len(covariates)
@@ -101,10 +105,14 @@ def cox_ph(df: DataFrame, time: str, event: str, covariates: Sequence[str], max_
             break
         ll = got["ll"]
         beta = beta + solve(info, np.array([got[f"u{i}"] for i in range(p)]))[0]
+    score = sum((F.lit(float(b)) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+    order = pair_order(rows.withColumn("_score", score), time, "_score", F.col("_e"), F.lit(1))
+    comparable = sum(order.values())
+    concordance = (order["more"] + order["tie"] / 2) / comparable if comparable else None
     rows.unpersist()
     se = np.sqrt(np.diag(np.linalg.pinv(info))) / sd
     b = beta / sd
-    out = [dict(term=c, coefficient=v, hazard_ratio=math.exp(min(v, 700)), std_error=e, z_statistic=v / e, p_value=2 * S.norm_sf(abs(v / e)), concordance=None, log_likelihood=ll, n=st["n"], n_events=st["d"]) for c, v, e in zip(covariates, b, se, strict=True)]
+    out = [dict(term=c, coefficient=v, hazard_ratio=math.exp(min(v, 700)), std_error=e, z_statistic=v / e, p_value=2 * S.norm_sf(abs(v / e)), concordance=concordance, log_likelihood=ll, n=st["n"], n_events=st["d"]) for c, v, e in zip(covariates, b, se, strict=True)]
     return frame(df, out, "term string, coefficient double, hazard_ratio double, std_error double, z_statistic double, p_value double, concordance double, log_likelihood double, n long, n_events long")
 
 

@@ -119,13 +119,27 @@ def unpack_gram(r: dict, p: int) -> tuple[int, np.ndarray, np.ndarray]:
     return n, mean, s
 
 
+def edges_under(value: Column, edges: Sequence[float], equal: bool = False) -> Column:
+    """How many of the sorted edges are under value (or equal to it), by halving.
+
+    Plain CASE expressions: a lambda over an array would not be compiled, and hides its columns from the optimizer, which then
+    infers a filter on the wrong side of a join on the result.
+    """
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        e = F.lit(float(edges[mid]))
+        return F.when(value < e if equal else value <= e, pick(low, mid)).otherwise(pick(mid + 1, high))
+
+    return pick(0, len(edges))
+
+
 def range_of(rows: DataFrame, value: str) -> Column:
     """A column that deals finite values into ordered ranges of about equal counts; the edges are a fixed number of doubles."""
     found = rows.agg(F.percentile_approx(value, [i / (EDGES + 1) for i in range(1, EDGES + 1)], 2000).alias("e")).first()["e"]
-    edges = sorted(set(found or []))
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(value)))
+    return edges_under(F.col(value), sorted(set(found or [])))
 
 
 def value_table(df: DataFrame, value: str, group: str | None = None, by: Sequence[str] = ()) -> DataFrame:

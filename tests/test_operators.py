@@ -88,6 +88,26 @@ def test_ranks(spark, rng):
         assert one(parametric.correlation(p, ["x", "y"], m))["r"] == pytest.approx(1.0)
 
 
+def test_pair_order_matches_all_pairs(spark, rng):
+    from quillon.plans.pairs import pair_order
+
+    n = 1500
+    x, y = np.where(rng.random(n) < 0.3, 2.5, np.round(rng.exponential(5, n), 2)), np.round(rng.normal(0, 3, n), 1)
+    a, b = rng.integers(0, 3, n), rng.integers(1, 4, n)
+    got = pair_order(series(spark, x, y=y, a=a, b=b).repartition(5), "value", "y", F.col("a"), F.col("b"))
+    w = a[:, None] * b[None] * (x[:, None] < x[None])
+    assert got == {"less": (w * (y[:, None] < y[None])).sum(), "more": (w * (y[:, None] > y[None])).sum(), "tie": (w * (y[:, None] == y[None])).sum()}
+    assert pair_order(series(spark, [1.0, 1.0], y=[1, 2]).filter("y > 5"), "value", "y", F.lit(1), F.lit(1)) == {"less": 0, "more": 0, "tie": 0}
+
+
+def test_kendall_matches_all_pairs(spark, rng):
+    x = np.round(rng.normal(size=400), 1)
+    y = np.round(x + rng.normal(size=400), 1)
+    got = one(parametric.correlation(series(spark, x, y=y), ["value", "y"], "kendall"))
+    sx, sy = np.sign(x[:, None] - x[None]), np.sign(y[:, None] - y[None])
+    assert got["r"] == pytest.approx((sx * sy).sum() / math.sqrt((sx**2).sum() * (sy**2).sum())) and got["p_value"] < 1e-6
+
+
 def test_value_table_matches_ranks_over_ranges(spark, rng):
     from quillon.plans.stats import ordered, value_table
 
@@ -191,6 +211,8 @@ def test_reliability(spark, rng):
     t = rng.exponential(1 / np.exp(0.8 * x))
     cox = one(reliability.cox_ph(series(spark, t, x=x, e=np.ones(300)), "value", "e", ["x"]))
     assert cox["coefficient"] == pytest.approx(0.8, abs=0.2)
+    pairs = t[:, None] < t[None]
+    assert cox["concordance"] == pytest.approx((pairs & (x[:, None] > x[None])).sum() / pairs.sum())
 
 
 def test_msa(spark):
