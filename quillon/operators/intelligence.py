@@ -193,20 +193,116 @@ def _size(result: dict) -> int | None:
     return sum(parts) if parts else None
 
 
-def explain(result: dict, context: str | None = None) -> dict:
-    """summary, detail, effect, caveats of a result row."""
-    p = result.get("p_value") if result.get("p_value") is not None else result.get("p_tost")
-    name = result.get("test_name", "The analysis")
-    sure = "no p-value" if p is None else "significant at 5 %" if p < 0.05 else "not significant at 5 %"
-    parts = [f"{c} = {result[c]:.4g}" for c in ("statistic", "df", "p_value", "p_tost", "mean_diff", "ci_lower", "ci_upper") if isinstance(result.get(c), (int, float))]
-    effect = f"{result['effect_size']:.3g} ({result.get('effect_label') or classify_effect(result['effect_size'], result.get('effect_size_type') or 'cohens_d')})" if result.get("effect_size") is not None else "not given"
-    caveats = []
+def result_family(result: dict) -> str:
+    """What a result row is about, told by the columns it has and then by the name of its test."""
+    has = lambda *names: all(result.get(c) is not None for c in names)
+    name = (result.get("test_name") or "").lower()
+    for family, fits in (
+        ("evidence", has("bf10")),
+        ("equivalence", has("p_tost")),
+        ("correlation", has("r", "var1", "var2")),
+        ("model", has("r_squared", "f_statistic")),
+        ("association", any(w in name for w in ("chi-square", "fisher"))),
+        ("groups", "anova" in name),
+        ("ranks", any(w in name for w in ("mann", "wilcoxon", "kruskal", "friedman", "mood", "sign"))),
+        ("means", has("mean1")),
+    ):
+        if fits:
+            return family
+    return "test"
+
+
+def _p(result: dict) -> float | None:
+    return next((result[c] for c in ("p_value", "p_tost", "f_p_value") if result.get(c) is not None), None)
+
+
+#: family -> (said of a significant result, said of another, what the result is conditional on)
+CLAIMS = {
+    "means": ("the means differ", "no difference of means is shown", "values near normal or groups of 30 and more"),
+    "groups": ("at least one group mean differs from the rest", "no difference among the group means is shown", "normal residuals of equal variance in all groups"),
+    "ranks": ("the distributions differ in location", "no shift between the distributions is shown", "independent rows and distributions of like shape"),
+    "association": ("the variables are associated", "no association is shown", "independent rows and expected counts of 5 and more, but for the exact test"),
+    "correlation": ("the two variables move together", "no correlation is shown", "pairs drawn independently; a linear relation for Pearson, a monotone one for ranks"),
+    "equivalence": ("the groups are equivalent within the margin", "equivalence within the margin is not shown", "a margin fixed before the data were seen"),
+    "model": ("the model explains part of the variance", "the model explains no more than chance would", "independent residuals of equal variance"),
+    "test": ("significant at the level asked for", "not significant at the level asked for", "the conditions of the test"),
+}
+
+
+def _figures(result: dict, family: str) -> list[str]:
+    """The numbers that a reader of this family looks for, in sentences."""
+    g, said = result.get, []
+    if family == "means":
+        said.append(f"Means {g('mean1'):.4g} and {g('mean2'):.4g}." if g("mean2") is not None else f"Mean {g('mean1'):.4g}.")
+    if family == "correlation":
+        r = result["r"]
+        said.append(f"{g('var1')} and {g('var2')} {'rise together' if r > 0 else 'move in opposite directions'}: r = {r:.4g}, sharing {100 * r * r:.1f} % of variance.")
+    if family == "model":
+        said.append(f"{100 * result['r_squared']:.1f} % of variance explained" + (f", {100 * g('adj_r_squared'):.1f} % adjusted." if g("adj_r_squared") is not None else "."))
+    if family == "evidence":
+        bf = result["bf10"]
+        said.append(f"The data are {bf:.4g} times as likely under a difference as without one." if bf >= 1 else f"The data are {1 / bf if bf > 0 else math.inf:.4g} times as likely without a difference as under one.")
+    stat = g("statistic") if g("statistic") is not None else g("f_statistic")
+    tail = [f"{label} {v:.4g}" for label, v in (("statistic", stat), ("df", g("df")), ("p", _p(result)), ("difference", g("mean_diff"))) if isinstance(v, (int, float))]
+    if tail:
+        said.append(", ".join(tail).capitalize() + ".")
+    if g("ci_lower") is not None and g("ci_upper") is not None:
+        said.append(f"Interval {g('ci_lower'):.4g} to {g('ci_upper'):.4g}.")
+    return said
+
+
+def _magnitude(result: dict, family: str) -> tuple[float | None, str | None]:
+    """The effect and its label; a correlation and a model are their own effect sizes."""
+    own = {"correlation": ("r", "r"), "model": ("r_squared", "r_squared")}.get(family)
+    value, kind = (result[own[0]], own[1]) if own else (result.get("effect_size"), result.get("effect_size_type") or "cohens_d")
+    if value is None or value != value:
+        return None, None
+    return value, (None if own else result.get("effect_label")) or classify_effect(value, kind)
+
+
+def explain(result: dict, context: str | None = None, checks: Sequence[dict] = (), alpha: float = 0.05) -> dict:
+    """summary, detail, assumptions, effect, practical, caveats and confidence of a result row.
+
+    `checks` are rows of the assumption checks (`test_name`, `passed`); a failed one is a caveat. What is said depends
+    on the family of the result (`result_family`). Confidence: low below 10 rows or with three caveats, high without any.
+    """
+    family, p, n = result_family(result), _p(result), _size(result)
+    yes, no, conditions = CLAIMS.get(family, CLAIMS["test"])
+    significant = None if p is None else p < alpha
+    if family == "evidence":
+        verdict = f"{result.get('bf_label') or 'unlabelled'} evidence"
+        conditions = "the prior on the effect"
+    else:
+        verdict = "no p-value is given" if significant is None else yes if significant else no
+    effect, label = _magnitude(result, family)
+    weak = label in ("negligible", "small")
+    if significant is None or label is None or family == "equivalence":
+        practical = ""
+    elif significant:
+        practical = "Real but slight: ask whether an effect of this size matters." if weak else "Large enough to matter as well as to be detected."
+    else:
+        practical = "Either there is nothing to find or little of it." if weak else "The effect looks sizeable, but these data cannot tell it from chance: collect more."
+    caveats = [f"{c.get('test_name') or c.get('name')} is not met" for c in checks if not c["passed"]]
+    if significant and weak and family != "equivalence":
+        caveats.append("significant, though the effect is slight")
     if p is not None and 0.04 < p < 0.06:
-        caveats.append("the p-value is borderline")
-    n = _size(result)
+        caveats.append(f"the p-value is borderline ({p:.4f})")
     if n is not None and n < 20:
         caveats.append(f"the sample is small (n = {n})")
-    return dict(summary=f"{name}: {sure}." + (f" {context}" if context else ""), detail=", ".join(parts), effect=effect, caveats=caveats, confidence="low" if len(caveats) > 1 else "moderate" if caveats else "high")
+    if family == "groups" and significant:
+        caveats.append("the overall test does not say which groups differ")
+    if family == "correlation" and significant:
+        caveats.append("correlation does not show a cause")
+    hard = [c for c in caveats if not c.startswith(("the overall", "correlation"))]
+    return dict(
+        summary=f"{result.get('test_name') or family.capitalize()}: {verdict}." + (f" {context}" if context else ""),
+        detail=" ".join(_figures(result, family)),
+        assumptions="; ".join(f"{c.get('test_name') or c.get('name')}: {'met' if c['passed'] else 'not met'}" for c in checks) or f"Rests on {conditions}.",
+        effect="not given" if effect is None else f"{effect:.3g} ({label})",
+        practical=practical,
+        caveats=caveats,
+        confidence="low" if len(hard) > 2 or (n is not None and n < 10) else "moderate" if hard else "high",
+    )
 
 
 def recommend_next(result: dict) -> list[dict]:

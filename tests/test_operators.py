@@ -424,3 +424,41 @@ def test_small_streams_and_empty_models(spark):
     noise = spark.createDataFrame([(float(i % 2), float(i % 3)) for i in range(60)], "x double, y double")
     last = regression.stepwise(noise, "y", ["x"]).collect()[-1]
     assert last["action"] == "final" and last["selected"] == [] and last["r_squared"] == 0.0
+
+
+def test_explanations_follow_the_family(spark):
+    near, far = groups(spark, a=range(30), b=[v + 0.5 for v in range(30)]), groups(spark, a=range(10), b=range(20, 30), c=range(40, 50))
+    line = spark.createDataFrame([(float(i), 2.0 * i + (i % 3)) for i in range(40)], "x double, y double")
+    counts = spark.createDataFrame([("a", "x", 40), ("a", "y", 10), ("b", "x", 12), ("b", "y", 38)], "r string, c string, n long")
+    rows = {
+        "means": parametric.two_sample(near, "value", "group"),
+        "groups": parametric.one_way(far, "value", "group"),
+        "ranks": nonparametric.kruskal_wallis(far, "value", "group"),
+        "association": parametric.chi_square_independence(counts, "r", "c", "n"),
+        "correlation": parametric.correlation(line, ["x", "y"]),
+        "equivalence": parametric.tost(near, "value", "group", 50.0),
+        "model": regression.ols(line, "y", ["x"]),
+        "evidence": bayesian.bayesian_ttest_two_sample(near, "value", "group"),
+    }
+    said = {}
+    for family, df in rows.items():
+        r = one(df)
+        assert intelligence.result_family(r) == family
+        said[family] = intelligence.explain(r)
+        assert said[family]["summary"] and said[family]["detail"] and said[family]["confidence"] in ("high", "moderate", "low")
+    assert "no difference of means" in said["means"]["summary"] and "nothing to find" in said["means"]["practical"]
+    assert any("which groups" in c for c in said["groups"]["caveats"]) and "rise together" in said["correlation"]["detail"]
+    assert "equivalent within" in said["equivalence"]["summary"]
+    assert ("likely under a difference" in said["evidence"]["detail"]) == (one(rows["evidence"])["bf10"] >= 1)
+    assert "4 times as likely without a difference" in intelligence.explain(dict(bf10=0.25, bf_label="moderate"))["detail"]
+    failed = intelligence.explain(one(rows["means"]), checks=[dict(test_name="Levene", passed=False)])
+    assert "Levene is not met" in failed["caveats"] and failed["assumptions"] == "Levene: not met" and failed["confidence"] == "moderate"
+    bare = intelligence.explain({})
+    assert bare["summary"] == "Test: no p-value is given." and bare["caveats"] == []
+
+
+def test_calibration_adapter(spark):
+    from quillon.calibration import get_calibration_adapter
+
+    assert get_calibration_adapter(spark) is None
+    assert len(get_calibration_adapter(spark, dict)) == 40
