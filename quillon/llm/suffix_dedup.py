@@ -6,8 +6,9 @@ windows with one anchor travel as short segments of text, equal segments of a ma
 segments of an anchor meet, equal ones (compared byte by byte) are one class; where an anchor has several
 classes a suffix array of them is built by two-stage sorting: only suffixes smaller than their
 successor are sorted directly (to the depth that matters), the others are induced by one scan over the
-symbol buckets; adjacent common prefixes of at least 50 bytes then give the equal windows and, in each
-class of them, the smallest doc_id.
+symbol buckets; suffixes that neither start a window nor are needed to induce one that does are left out.
+Adjacent common prefixes of at least 50 bytes then give the equal windows and, in each class of them, the
+smallest doc_id. Hashes choose anchors and find equal segments; they decide nothing.
 
 Defined cases: null is empty; texts under 50 bytes lose nothing; matches do not cross documents and a
 document never matches itself or a row with its own doc_id; rows that repeat one another are answered alike; a null doc_id
@@ -24,11 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm._anchors import BLOCK_SCHEMA, HOT_LEAST, SPREAD, attach, blocks, covered, expand, from_planes, is_in, meet_and_return, order_ids, ordinals_of, planes, repeated_anchors, squeeze, with_marks, with_uid
-from quillon.llm._base import BYTE_CODE, U64, map_batches, mix, partitions, range_hashes, release_freed_memory, spread, table, text_bytes, text_slices
+from quillon.llm._base import U64, map_batches, mix, partitions, release_freed_memory, spread, table, text_bytes, text_slices
 
 WINDOW = 50
 GRAM = 16
 MARK = 0xFF  # never a byte of UTF-8, so it can end segments
+BLOCK = 1 << 13  # windows or segments hashed at a time, so that what is in between stays in the cache
+ODD = [U64(0xC6A4A7935BD1E995), U64(0x9FB21C651E98DF25), U64(0xD6E8FEB86659FD93)]
+
+
+def eights(data: np.ndarray, order: str = "<") -> np.ndarray:
+    """Eight bytes from each place on as one number: a view, not aligned."""
+    return np.ndarray((max(len(data) - 7, 0),), f"{order}u8", np.ascontiguousarray(data), strides=(1,))
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -41,14 +49,29 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def least_hashes(data: np.ndarray) -> np.ndarray:
+    """For each window the least hash of the GRAM-byte strings in it."""
+    span = WINDOW - GRAM + 1
+    eight = eights(data)
+    out = np.empty(max(len(data) - WINDOW + 1, 0), U64)
+    for at in range(0, len(out), BLOCK):
+        to = min(len(out), at + BLOCK)
+        part = eight[at : to + WINDOW - 8].astype(U64)
+        grams = part[: 8 - GRAM] * ODD[0]
+        grams += part[GRAM - 8 :] * ODD[1]
+        grams ^= grams >> U64(32)
+        grams *= ODD[2]
+        grams ^= grams >> U64(29)
+        out[at:to] = sliding_least(grams, span)
+    return out
+
+
 def anchor_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first window, windows, document) of each run of windows that have their anchor in one place."""
     span = WINDOW - GRAM + 1
     if len(data) < WINDOW:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    starts = np.arange(len(data) - GRAM + 1)
-    grams = range_hashes(BYTE_CODE[data], starts, starts + GRAM)
-    least = sliding_least(grams, span)
+    least = least_hashes(data)
     # A run ends where the least hash changes or a document begins, so runs depend on their document alone.
     change = np.r_[True, least[1:] != least[:-1]]
     change[offsets[offsets < len(least)]] = True
@@ -77,13 +100,23 @@ def _ties(same: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[tie], number[tie]
 
 
-def suffix_order(text: np.ndarray, eight: np.ndarray, depth: int = WINDOW) -> np.ndarray:
-    """Suffixes of text (bytes) in order of at least their first `depth` symbols, by two-stage sorting. eight: packed_eights of the padded text."""
+def suffix_order(text: np.ndarray, eight: np.ndarray, depth: int = WINDOW, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of text (bytes) in order of at least their first `depth` symbols, by two-stage sorting. eight: packed_eights of the padded text.
+    wanted (boolean by place): only these suffixes, and those that they are induced from, are sorted."""
     n = len(text)
     # a suffix is smaller than its successor if the next different symbol is larger; the last run's are not
     runs = np.flatnonzero(np.r_[True, text[1:] != text[:-1]][:n])
     head = text[runs]
-    direct = np.flatnonzero(np.repeat(np.r_[head[1:] > head[:-1], False][: len(runs)], np.diff(np.r_[runs, n])))
+    smaller = np.repeat(np.r_[head[1:] > head[:-1], False][: len(runs)], np.diff(np.r_[runs, n]))
+    direct = np.flatnonzero(smaller)
+    previous = np.full(n, -1, np.int16)  # the symbol before; -1 where the suffix before is not wanted
+    previous[1:] = text[:-1]
+    if wanted is not None:  # a suffix that is not sorted directly is induced from the next one
+        last = np.flatnonzero(wanted & ~np.r_[wanted[1:], False][:n])
+        wanted = wanted.copy()
+        wanted[spread(last, np.r_[direct, n - 1][np.searchsorted(direct, last)] - last + 1)] = True
+        direct = np.flatnonzero(smaller & wanted)
+        previous[1:][~wanted[:-1]] = -1
     first = eight[direct]
     order = np.argsort(first)
     direct, first = direct[order], first[order]
@@ -99,22 +132,22 @@ def suffix_order(text: np.ndarray, eight: np.ndarray, depth: int = WINDOW) -> np
         done += fits
     bounds = np.searchsorted(text[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    if n:
+    if n and (wanted is None or wanted[-1]):
         induced[text[-1]].append(np.array([n - 1]))
     out = []
     for c in range(256):
+        if not induced[c] and bounds[c] == bounds[c + 1]:
+            continue
         layer = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
         here = [layer]
         while len(layer):
-            before = layer[layer > 0] - 1
-            layer = before[text[before] == c]
+            layer = layer[previous[layer] == c] - 1
             here.append(layer)
         whole = np.concatenate([*here, direct[bounds[c] : bounds[c + 1]]])
         out.append(whole)
-        before = whole[whole > 0] - 1
-        symbol = text[before]
+        symbol = previous[whole]
         up = symbol > c
-        before, symbol = before[up], symbol[up]
+        before, symbol = whole[up] - 1, symbol[up]
         if len(before):
             by = np.argsort(symbol, kind="stable")
             before, symbol = before[by], symbol[by]
@@ -126,17 +159,15 @@ def suffix_order(text: np.ndarray, eight: np.ndarray, depth: int = WINDOW) -> np
 
 def packed_eights(padded: np.ndarray) -> np.ndarray:
     """Eight symbols from each place on as one number that sorts like them."""
-    n = len(padded) - 8
-    out = np.zeros(n, U64)
-    for i in range(8):
-        out = out << U64(8) | padded[i : i + n].astype(U64)
-    return out
+    return eights(padded, ">").astype(U64)
 
 
 def window_owners(text: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """For each valid window start: the smallest owner among the starts of equal windows."""
     eight = packed_eights(np.r_[text, np.zeros(WINDOW + 16, np.uint8)])
-    order = suffix_order(text, eight)
+    wanted = np.zeros(len(text), bool)
+    wanted[valid] = True
+    order = suffix_order(text, eight, wanted=wanted)
     place = np.full(len(text) + 1, -1, np.int64)
     place[valid] = np.arange(len(valid))
     rank = place[order]
@@ -144,7 +175,8 @@ def window_owners(text: np.ndarray, valid: np.ndarray, owner: np.ndarray) -> np.
     at = valid[rank]
     same = np.ones(max(len(at) - 1, 0), bool)
     for s in (*range(0, WINDOW - 8, 8), WINDOW - 8):  # common prefix with the suffix before is 50 at least
-        same &= eight[at[1:] + s] == eight[at[:-1] + s]
+        part = eight[at + s]
+        same &= part[1:] == part[:-1]
     starts = np.flatnonzero(np.r_[True, ~same][: len(at)])
     out = np.zeros(len(valid), np.int64)
     if len(at):
@@ -176,12 +208,16 @@ def _segments(raws: list[bytes]) -> tuple:
 
 
 def names_of(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """A hash of each data[first : first + size]."""
-    out = [np.zeros(0, U64)]
-    for at in range(0, len(first), STEP):
-        n = size[at : at + STEP]
-        ends = np.cumsum(n)
-        out.append(range_hashes(BYTE_CODE[data[spread(first[at : at + STEP], n)]], ends - n, ends))
+    """A hash of each data[first : first + size] (size 8 at least), by eight bytes at a time; the last eight may overlap others."""
+    eight, out = eights(data), [np.zeros(0, U64)]
+    for at in range(0, len(first), BLOCK):
+        f, last = first[at : at + BLOCK], size[at : at + BLOCK] - 8
+        name = mix(last.astype(U64) * ODD[1])
+        for s in range(0, int(last.max()) + 8, 8):
+            name ^= eight[f + np.minimum(s, last)]
+            name *= ODD[0]
+            name ^= name >> U64(32)
+        out.append(mix(name))
     return np.concatenate(out)
 
 
@@ -191,9 +227,11 @@ def classes(key: np.ndarray, name: np.ndarray, data: np.ndarray, first: np.ndarr
     new = np.r_[True, (key[by][1:] != key[by][:-1]) | (size[by][1:] != size[by][:-1]) | (name[by][1:] != name[by][:-1])][: len(by)]
     one, which = by[new], np.empty(len(by), np.int64)
     which[by] = np.cumsum(new) - 1
-    for at in range(0, len(key), STEP):
-        n = size[at : at + STEP]
-        differ = data[spread(first[at : at + STEP], n)] != data[spread(first[one[which[at : at + STEP]]], n)]
+    others = np.flatnonzero(one[which] != np.arange(len(key)))
+    for at in range(0, len(others), STEP):
+        other = others[at : at + STEP]
+        n = size[other]
+        differ = data[spread(first[other], n)] != data[spread(first[one[which[other]]], n)]
         if differ.any():  # two texts of one hash: name by the bytes themselves
             exact: dict[bytes, int] = {}
             ids = [exact.setdefault(data[f : f + n].tobytes(), len(exact)) for f, n in zip(first, size, strict=True)]
@@ -235,12 +273,8 @@ def _class_masks(body: np.ndarray, first: np.ndarray, count: np.ndarray, least:
     text = np.full(int((size + 1).sum()), MARK, np.uint8)
     text[spread(begin, size)] = body[spread(first, size)]
     owners = window_owners(text, spread(begin, count), np.repeat(least, count))
-    own = np.repeat(np.arange(len(count)), count)
-    bit = spread(np.zeros(len(count), np.int64), count)
-    marked = owners < least[own]
-    out = np.zeros(len(count), U64)
-    np.bitwise_or.at(out, own[marked], U64(1) << bit[marked].astype(U64))
-    return out
+    marked = (owners < np.repeat(least, count)).astype(U64) << spread(np.zeros(len(count), np.int64), count).astype(U64)
+    return np.bitwise_or.reduceat(marked, np.cumsum(count) - count)
 
 
 def repeated_bytes(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
@@ -307,7 +341,7 @@ def _flagged(part: pa.RecordBatch) -> tuple:
     at = np.concatenate([np.zeros(0, np.int64), *(o[o < e - b] + b for o, b, e in zip(ordinals_of(part.column("ordinals")), begin, begin[1:], strict=False))])
     key, start, count, doc = key[at], start[at], count[at], doc[at]
     uid, ids = part.column("uid").to_numpy(), order_ids(part.column("doc_id"))
-    name = range_hashes(BYTE_CODE[data], start, start + count + WINDOW - 1)
+    name = names_of(data, start, count + WINDOW - 1)
     return key, uid[doc], ids[doc], start - offsets[doc], count, name, data.copy(), start
 
 

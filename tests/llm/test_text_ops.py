@@ -195,6 +195,46 @@ def test_suffix_order():
             assert cut == sorted(cut)
 
 
+def test_suffixes_of_windows_only(monkeypatch):
+    """Only suffixes that start a window, and those that they are induced from, are sorted."""
+    rng = np.random.default_rng(5)
+    order, lengths = suffix_dedup.suffix_order, []
+    monkeypatch.setattr(suffix_dedup, "suffix_order", lambda *a, **k: [x := order(*a, **k), lengths.append(len(x))][0])
+    for base in (0, 97, 0xFC):  # NUL and the end mark among the symbols
+        for top in (1, 2, 3):
+            source = rng.integers(base, base + top, 300).astype(np.uint8)
+            count = rng.integers(1, 8, 40)
+            place = rng.integers(0, 240, 40)
+            text = np.concatenate([np.r_[source[p : p + c + 49], np.uint8(suffix_dedup.MARK)] for p, c in zip(place, count)])
+            begin = np.cumsum(count + 50) - count - 50
+            valid = np.concatenate([np.arange(b, b + c) for b, c in zip(begin, count)])
+            owner = np.repeat(rng.integers(0, 99, 40), count)
+            least: dict = {}
+            for v, o in zip(valid, owner):
+                w = text[v : v + 50].tobytes()
+                least[w] = min(o, least.get(w, o))
+            assert suffix_dedup.window_owners(text, valid, owner).tolist() == [least[text[v : v + 50].tobytes()] for v in valid]
+            assert len(valid) <= lengths[-1] and (top == 1 or lengths[-1] < len(text) / 3)
+
+
+@pytest.mark.parametrize("block", [1, 37, 1 << 13])
+def test_least_hashes(block, monkeypatch):
+    """Anchors depend on their window alone, wherever blocks end; the names of equal bytes are equal."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    for n in (0, 5, 49, 50, 51, 400):
+        data = rng.integers(0, 3, n).astype(np.uint8)
+        whole = suffix_dedup.least_hashes(data)
+        assert len(whole) == max(n - 49, 0)
+        assert whole.tolist() == [suffix_dedup.least_hashes(data[i : i + 50])[0] for i in range(len(whole))]
+    size = rng.integers(50, 85, 200)
+    first = rng.integers(0, 300, 200)
+    names: dict = {}
+    for f, z, name in zip(first, size, suffix_dedup.names_of(data, first, size)):
+        assert names.setdefault(data[f : f + z].tobytes(), name) == name
+    assert len(set(names.values())) == len(names)
+
+
 def brute_words(rows):
     first, out = {}, {}
     words = {i: WORD.findall(t or "") for i, t in rows}
