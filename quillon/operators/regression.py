@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import special as S
+from quillon.plans.blocks import Values, block_median, blocks, fold, sample_rows
 from quillon.plans.stats import clean, finish, frame, gram, ordered, unpack_gram
 
 COEF = "term string, estimate double, std_error double, statistic double, p_value double, ci_lower double, ci_upper double"
@@ -526,32 +527,48 @@ def regularization_path(df: DataFrame, y: str, features: Sequence[str], method:
 
 
 def robust_regression(df: DataFrame, y: str, features: Sequence[str], method: str = "huber", max_iter: int = 50, tol: float = 1e-6, huber_c: float = 1.345) -> DataFrame:
-    """Huber or bisquare weights; every step two exact medians and one weighted Gram aggregate over cached columns."""
-    rows = clean(df, [*features, y]).cache()
-    n, mean, s = unpack_gram(gram(rows, [*features, y]).first().asDict(), len(features) + 1)
-    first = ols_from(n, mean, s, range(len(features)))["coef"]
-    design = [F.lit(1.0), *(F.col(c) for c in features)]
-    beta, w = first, F.lit(1.0)
+    """Huber or bisquare weights over cached blocks; every step two exact medians (see block_median) and one weighted Gram pass."""
+    rows, p = clean(df, [*features, y]), len(features)
+    n, mean, s = unpack_gram(gram(rows, [*features, y]).first().asDict(), p + 1)
+    first = ols_from(n, mean, s, range(p))["coef"]
+    held = blocks(rows.select(*features, y))
+    few = sample_rows(held, p + 1, n)
+    beta, k = first, 0
+
+    def rest(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+        return x[-1] - sum(float(b) * c for b, c in zip(beta, [1.0, *x[:-1]], strict=True))
+
+    def median(values: Values) -> float:
+        return block_median(held, p + 1, n, values, values(few))
+
     for _ in range(max_iter):
-        fit = sum((F.lit(float(b)) * d for b, d in zip(beta, design, strict=True)), F.lit(0.0))
-        r = F.col(y) - fit
-        m = rows.agg(F.median(r)).first()[0]
-        mad = rows.agg(F.median(F.abs(r - F.lit(m)))).first()[0]
+        old = beta
+        m = median(lambda x: rest(x, old))
+        mad = median(lambda x: np.abs(rest(x, old) - m))
         scale = mad / 0.6745 if mad > 0 else 1.0
-        u = F.abs(r / F.lit(scale))
-        if method == "bisquare":
-            w = F.when(u < 4.685, F.pow(1 - F.pow(u / 4.685, F.lit(2.0)), F.lit(2.0))).otherwise(0.0)
-        else:
-            w = F.least(F.lit(1.0), F.lit(huber_c) / F.greatest(u, F.lit(1e-300)))
-        w = F.greatest(w, F.lit(1e-10))
-        A, b, _ = weighted_sums(rows, design, w, F.col(y))
-        new = solve(A, b)[0]
-        moved = float(np.abs(new - beta).max())
-        beta = new
-        if moved < tol:
+
+        def sums(each: Iterator[np.ndarray]) -> np.ndarray:
+            """X'WX, X'Wy and the number of small weights."""
+            total = np.zeros((p + 3, p + 1))
+            for x in each:
+                u = np.abs(rest(x, old) / scale)
+                if method == "bisquare":
+                    w = np.where(u < 4.685, (1 - (u / 4.685) ** 2) ** 2, 0.0)
+                else:
+                    w = np.minimum(1.0, huber_c / np.maximum(u, 1e-300))
+                w = np.maximum(w, 1e-10)
+                design = np.vstack([np.ones(x.shape[1]), x[:-1]])
+                total[: p + 1] += (design * w) @ design.T
+                total[p + 1] += design @ (w * x[-1])
+                total[p + 2, 0] += (w < 0.99).sum()
+            return total
+
+        found = sum(fold(held, p + 1, sums))
+        k = int(found[p + 2, 0])
+        beta = solve(found[: p + 1], found[p + 1])[0]
+        if float(np.abs(beta - old).max()) < tol:
             break
-    fit = sum((F.lit(float(b)) * d for b, d in zip(beta, design, strict=True)), F.lit(0.0))
-    r = rows.agg(F.sum(F.pow(F.col(y) - fit, F.lit(2.0))).alias("sse"), F.sum((w < 0.99).cast("long")).alias("k")).first()
-    rows.unpersist()
-    more = dict(method=method, r_squared=1 - r["sse"] / s[-1, -1] if s[-1, -1] > 0 else 0.0, n_downweighted=r["k"], n=n)
+    sse = float(sum(fold(held, p + 1, lambda each: sum(float((rest(x, beta) ** 2).sum()) for x in each))))
+    held.unpersist()
+    more = dict(method=method, r_squared=1 - sse / s[-1, -1] if s[-1, -1] > 0 else 0.0, n_downweighted=k, n=n)
     return frame(df, [dict(term=t, estimate=b, ols_estimate=o, change_pct=100 * (b - o) / o if o else 0.0) | more for t, b, o in zip(["(Intercept)", *features], beta, first, strict=True)], "term string, estimate double, ols_estimate double, change_pct double, method string, r_squared double, n_downweighted long, n long")

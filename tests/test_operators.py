@@ -462,3 +462,41 @@ def test_calibration_adapter(spark):
 
     assert get_calibration_adapter(spark) is None
     assert len(get_calibration_adapter(spark, dict)) == 40
+
+
+def test_block_median_is_exact(spark):
+    from quillon.plans.blocks import block_median, blocks
+
+    rng = np.random.default_rng(5)
+    for v in (rng.normal(size=20_001), rng.normal(size=20_000), np.round(rng.normal(size=9_000), 1), np.full(50, 7.0), np.r_[np.zeros(500), rng.pareto(0.2, 500)], np.array([1.0, 4.0])):
+        held = blocks(series(spark, v).select("value").repartition(3))
+        for most in (0, 40, 500_000):  # few values for the driver: edges are moved
+            for guess in (v[:300], np.empty(0), v + 100.0):
+                assert block_median(held, 1, len(v), lambda x: x[0], guess, most) == np.median(v)
+        held.unpersist()
+
+
+def test_robust_regression_collects_no_percentile(spark, monkeypatch):
+    """A percentile of Spark holds all residuals in one task; the fit is that of a loop over all rows."""
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=3_000), rng.normal(size=3_000)
+    y[::10] += 30.0
+    y += 2.0 * x
+    design = np.c_[np.ones(3_000), x]
+    beta = np.linalg.lstsq(design, y, rcond=None)[0]
+    for _ in range(50):
+        r = y - design @ beta
+        u = np.abs(r) / (np.median(np.abs(r - np.median(r))) / 0.6745)
+        w, old = np.minimum(1.0, 1.345 / u), beta
+        beta = np.linalg.solve((design.T * w) @ design, design.T @ (w * y))
+        if np.abs(beta - old).max() < 1e-6:
+            break
+
+    def refuse(*_):
+        raise AssertionError("an exact percentile in one task")
+
+    monkeypatch.setattr(F, "median", refuse)
+    monkeypatch.setattr(F, "percentile", refuse)
+    got = regression.robust_regression(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double"), "y", ["x"]).collect()
+    assert [g["estimate"] for g in got] == pytest.approx(beta.tolist(), abs=1e-8)
+    assert got[0]["n_downweighted"] == (w < 0.99).sum()
