@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from quillon.functions import effects as E
 from quillon.functions import special as S
 from quillon.operators.parametric import TEST, _only, anova_parts, need, result, two, two_sample_from
-from quillon.plans.stats import clean, dicts, finish, group_stats, mid_rank, ordered, range_of, value_table, var0
+from quillon.plans.differences import BINS, Differences
+from quillon.plans.stats import clean, dicts, finish, group_stats, mid_rank, ordered, value_table, var0
 
 RANK = TEST + ", median1 double, median2 double, median_diff double, n1 long, n2 long, method string"
 
@@ -30,46 +31,35 @@ def rank_groups(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
     return g.join(ties, list(by)) if by else g.crossJoin(F.broadcast(ties))
 
 
-def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str], most_pairs: int = 4_000_000, tolerance: float = 1e-12) -> float:
+def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str], most_pairs: int = 4_000_000, tolerance: float = 0.0) -> float:
     """Median of all differences x - y: the mean of the two middle ones, at every size.
 
     With few distinct values the differences of these are weighed on the driver; else the two middle ones are
-    found by bisection on the counted number of differences, one aggregate a step, to `tolerance` of their range. For
-    that both samples' values are range-counted against each other through sorted running counts.
+    selected by counts over ranges of both samples (see Differences), of which the driver takes at most `most_pairs` differences. They
+    are exact unless a `tolerance`, in parts of the values' range, lets the search stop before.
     """
     rows = clean(df, [value], [group]).filter(F.col(group).cast("string").isin(list(labels)))
-    lo, hi = rows.agg(F.min(value), F.max(value)).first()
-    a, b = (rows.filter(F.col(group).cast("string") == x).groupBy(value).agg(F.count("*").alias("w")).cache() for x in labels)
+    a, b = (rows.filter(F.col(group).cast("string") == x).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("w")).cache() for x in labels)
     n = a.agg(F.sum("w")).first()[0] * b.agg(F.sum("w")).first()[0]
-
-    def count(d: float) -> int:
-        """Pairs with x - y <= d, that is with y at or above x - d: y's running count at the place of x - d, by ranges."""
-        both = a.select((F.col(value) - F.lit(d)).alias("v"), "w", F.lit(True).alias("own")).union(b.select(F.col(value).alias("v"), "w", F.lit(False)))
-        r = range_of(both, "v")
-        both = both.withColumn("_r", r)
-        tops = both.groupBy("_r").agg(F.sum(F.when(~F.col("own"), F.col("w")).otherwise(0)).alias("t"))
-        offsets = tops.select("_r", (F.sum("t").over(Window.orderBy(F.desc("_r"))) - F.col("t")).alias("above_range"))
-        w = Window.partitionBy("_r").orderBy(F.desc("v"), "own")
-        inside = both.withColumn("above", F.sum(F.when(~F.col("own"), F.col("w")).otherwise(0)).over(w)).filter("own")
-        full = inside.join(F.broadcast(offsets), "_r")
-        return int(full.agg(F.sum(F.col("w") * (F.col("above") + F.col("above_range")))).first()[0] or 0)
+    k1, k2 = (n + 1) // 2, n // 2 + 1
 
     if a.count() * b.count() <= most_pairs:
         xa, xb = a.toPandas(), b.toPandas()
-        diff = np.subtract.outer(xa[value].to_numpy(), xb[value].to_numpy()).ravel()
+        diff = np.subtract.outer(xa["v"].to_numpy(), xb["v"].to_numpy()).ravel()
         weight = np.multiply.outer(xa["w"].to_numpy(), xb["w"].to_numpy()).ravel()
         order = np.argsort(diff)
         run = np.cumsum(weight[order])
-        at = lambda k: diff[order][np.searchsorted(run, k)]
-        return float((at((n + 1) // 2) + at(n // 2 + 1)) / 2)
-    found = []
-    for k in sorted({(n + 1) // 2, n // 2 + 1}):
-        low, high = lo - hi, hi - lo
-        while high - low > tolerance * max(hi - lo, 1e-300) and low < (low + high) / 2 < high:
-            mid = (low + high) / 2
-            low, high = (mid, high) if count(mid) < k else (low, mid)
-        found.append(high)
-    return (found[0] + found[-1]) / 2
+        found = [float(diff[order][np.searchsorted(run, k)]) for k in (k1, k2)]
+    else:
+        steps = [i / (BINS + 1) for i in range(1, BINS + 1)]
+        label = F.col(group).cast("string")
+        lo, hi, *edges = rows.agg(F.min(value), F.max(value), *(F.percentile_approx(F.when(label == x, F.col(value)), steps, 4000) for x in labels)).first()
+        pairs = Differences(a, b, edges, k1, k2)
+        found = pairs.select(k1, k2, most_pairs, tolerance * (hi - lo))
+        pairs.close()
+    a.unpersist()
+    b.unpersist()
+    return (found[0] + found[1]) / 2
 
 
 def mann_whitney_from(a: dict, b: dict, ties: float, alpha: float, alternative: str = "two-sided") -> dict:

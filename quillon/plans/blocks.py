@@ -36,16 +36,21 @@ def blocks(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(cut, "block binary").cache()
 
 
-def fold(held: DataFrame, width: int, fn: Callable[[Iterator[np.ndarray]], object]) -> list:
-    """What fn makes of each partition's blocks."""
+def gather(held: DataFrame, fn: Callable[[Iterator[pa.Buffer]], object]) -> list:
+    """What fn makes of each partition's binary values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = (np.frombuffer(v.as_buffer()).reshape(width, -1) for b in batches for v in b.column(0))
+        each = (v.as_buffer() for b in batches for v in b.column(0))
         yield pa.record_batch([pa.array([pickle.dumps(fn(each))], pa.binary())], ["made"])
 
     return [pickle.loads(r["made"]) for r in held.mapInArrow(run, "made binary").collect()]
 
 
+def fold(held: DataFrame, width: int, fn: Callable[[Iterator[np.ndarray]], object]) -> list:
+    """What fn makes of each partition's blocks."""
+    return gather(held, lambda each: fn(np.frombuffer(v).reshape(width, -1) for v in each))
+
+
 def sample_rows(held: DataFrame, width: int, n: int, most: int = SAMPLE) -> np.ndarray:
     """About `most` of the n rows, evenly over each partition."""
     step = max(1, n // most)

@@ -500,3 +500,29 @@ def test_robust_regression_collects_no_percentile(spark, monkeypatch):
     got = regression.robust_regression(spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double"), "y", ["x"]).collect()
     assert [g["estimate"] for g in got] == pytest.approx(beta.tolist(), abs=1e-8)
     assert got[0]["n_downweighted"] == (w < 0.99).sum()
+
+
+def test_hodges_lehmann_selects_exactly_without_forming_pairs(spark, monkeypatch):
+    """Every tie and both middle differences exact, with few pairs for the driver and with few jobs."""
+    from quillon.plans import differences
+
+    rng = np.random.default_rng(8)
+    cases = [
+        (rng.normal(size=301), rng.normal(1, 2, 251)),
+        (rng.normal(size=300).round(1), rng.normal(size=250).round(1)),
+        (np.r_[np.zeros(200), rng.exponential(size=100)], np.r_[np.zeros(150), rng.exponential(size=101)]),
+        (rng.pareto(0.1, 120), -rng.pareto(0.1, 80)),
+        (np.array([1e16, 1e16 + 4, 3.0]), rng.random(60)),
+        (np.array([0.0, 10.0]), np.array([0.0])),
+    ]
+    jobs = []
+    gather = differences.gather
+    monkeypatch.setattr(differences, "gather", lambda *a: jobs.append(1) or gather(*a))
+    monkeypatch.setattr(differences, "RANGE", 40)
+    for x, y in cases:
+        df = groups(spark, a=x.tolist(), b=y.tolist())
+        want = np.median(np.subtract.outer(x, y))
+        for most in (0, 500):
+            jobs.clear()
+            assert nonparametric.hodges_lehmann(df, "value", "group", ("a", "b"), most_pairs=most) == want
+            assert len(jobs) <= 16
