@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import special as S
 from quillon.operators.parametric import anova_parts
+from quillon.plans.blocks import percentiles
 from quillon.plans.stats import clean, dicts, finish, frame, group_stats, moments, value_table
 
 CHECK = "name string, test_name string, statistic double, p_value double, passed boolean, detail string, suggestion string"
@@ -321,12 +322,14 @@ def box_spec(df: DataFrame, value: str, group: str, title: str = "Group Comparis
 
 def qq_spec(df: DataFrame, value: str, title: str = "Normal Q-Q", points: int = 200) -> dict:
     """Ordered values against normal quantiles at Blom positions, at most `points` of them (evenly by rank)."""
-    n = clean(df, [value]).count()
+
+    def blom(n: int) -> list[float]:
+        return [float((i - 0.375) / (n + 0.25)) for i in np.unique(np.linspace(1, n, min(n, points)).round().astype(int))] if n >= 3 else []
+
+    n, ys = percentiles(clean(df, [value]), lambda n: [min(max(p, 0.0), 1.0) for p in blom(n)])
     if n < 3:
         return {}
-    probs = [float((i - 0.375) / (n + 0.25)) for i in np.unique(np.linspace(1, n, min(n, points)).round().astype(int))]
-    ys = clean(df, [value]).agg(F.percentile(value, [min(max(p, 0.0), 1.0) for p in probs])).first()[0]
-    return dict(title=title, chart_type="qq_plot", traces=[dict(x=[S.norm_ppf(p) for p in probs], y=list(ys))])
+    return dict(title=title, chart_type="qq_plot", traces=[dict(x=[S.norm_ppf(p) for p in blom(n)], y=ys)])
 
 
 def histogram_spec(df: DataFrame, value: str, title: str = "Distribution") -> dict:

@@ -119,11 +119,14 @@ def residual_vs_fitted(diagnosed: DataFrame, points: int = 500) -> dict:
 def residual_diagnostics(diagnosed: DataFrame) -> list[dict]:
     from quillon.operators.core import histogram_spec, qq_spec
 
-    out = [residual_vs_fitted(diagnosed), qq_spec(diagnosed, "residual"), histogram_spec(diagnosed, "residual", "Residuals")]
-    if "pos" in diagnosed.columns:
-        every = max(1, -(-diagnosed.count() // 500))  # evenly over the whole order
-        few = diagnosed.filter(F.col("pos") % every == 0).select("pos", "residual").orderBy("pos").collect()
+    ranked = "pos" in diagnosed.columns
+    held = diagnosed.select("fitted", "residual", *(["pos"] if ranked else [])).cache()  # ordered once for all charts
+    out = [residual_vs_fitted(held), qq_spec(held, "residual"), histogram_spec(held, "residual", "Residuals")]
+    if ranked:
+        every = max(1, -(-held.count() // 500))  # evenly over the whole order
+        few = held.filter(F.col("pos") % every == 0).select("pos", "residual").orderBy("pos").collect()
         out.append(dict(title="Residuals vs order", chart_type="line", traces=[dict(x=[r[0] for r in few], y=[r[1] for r in few])]))
+    held.unpersist()
     return out
 
 

@@ -1,4 +1,4 @@
-"""Rows held as numpy blocks for many passes over few columns, and exact medians of what is computed from them.
+"""Rows held as numpy blocks for many passes over few columns, exact medians of what is computed from them, and percentiles.
 
 An exact percentile of Spark keeps all different values in one task's hash map. Here the values are counted between
 edges that a sample suggests, the edges are moved until few values are left between the two that enclose the middle, and
@@ -8,9 +8,10 @@ only those come to the driver. The sample decides how many passes that takes, ne
 from __future__ import annotations
 
 import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -116,3 +117,54 @@ def block_median(held: DataFrame, width: int, n: int, values: Values, guess: np.
         drawn = np.concatenate(fold(held, width, some))
         bounds = [edges[i] for a in open_ for i in (a // 2 - 1, a // 2) if 0 <= i < len(edges)]
         edges = np.unique(np.concatenate([bounds, np.quantile(drawn, np.linspace(0, 1, STEPS), method="nearest")])) if len(drawn) else edges
+
+
+def percentiles(rows: DataFrame, probs: Sequence[float] | Callable[[int], Sequence[float]], most: int = MOST) -> tuple[int, list[float]]:
+    """The number of values in the one column of rows, and their exact percentiles as Spark's percentile interpolates them.
+
+    probs may depend on the number. Many values are counted in bins between edges; only the bins that hold wanted ranks are sorted, each in its own task.
+    """
+    held = blocks(rows)
+    n = sum(fold(held, 1, lambda each: sum(x.shape[1] for x in each)))
+    if not n:
+        held.unpersist()
+        return 0, []
+    position = [(n - 1) * p for p in (probs(n) if callable(probs) else probs)]
+    if not position:
+        held.unpersist()
+        return n, []
+    ranks = np.unique([f(p) for p in position for f in (np.floor, np.ceil)]).astype(np.int64)
+    if n <= most:
+        at = dict(zip(ranks.tolist(), np.sort(np.concatenate([np.empty(0), *fold(held, 1, lambda each: np.concatenate([np.empty(0), *(x[0] for x in each)]))]))[ranks].tolist(), strict=True))
+    else:
+        edges = np.unique(np.quantile(sample_rows(held, 1, n, 2 * SAMPLE)[0], np.linspace(0, 1, 16 * STEPS), method="nearest"))
+        size = 2 * len(edges) + 1
+        total = sum(fold(held, 1, lambda each: sum((np.bincount(places(x[0], edges), minlength=size) for x in each), np.zeros(size, np.int64))))
+        run = np.cumsum(total)
+        bins = np.searchsorted(run, ranks, "right")
+        at = {int(k): float(edges[b // 2]) for k, b in zip(ranks, bins, strict=True) if b % 2}
+        inner: dict[int, list[int]] = {}
+        for k, b in zip(ranks, bins, strict=True):
+            if b % 2 == 0:
+                inner.setdefault(int(b), []).append(int(k))
+        wanted, before = np.isin(np.arange(size), list(inner)), run - total
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for value in batch.column(0):
+                    v = np.frombuffer(value.as_buffer())
+                    b = places(v, edges)
+                    keep = wanted[b]
+                    yield pa.record_batch([pa.array(b[keep]), pa.array(v[keep])], ["bin", "v"])
+
+        def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+            b, v = int(pdf["bin"].iloc[0]), np.sort(pdf["v"].to_numpy())
+            return pd.DataFrame({"k": inner[b], "v": v[[k - int(before[b]) for k in inner[b]]]})
+
+        at |= {r["k"]: r["v"] for r in held.mapInArrow(spread, "bin long, v double").groupBy("bin").applyInPandas(pick, "k long, v double").collect()}
+    held.unpersist()
+    out = []
+    for p in position:
+        low, high = at[int(np.floor(p))], at[int(np.ceil(p))]
+        out.append(low if low == high else (np.ceil(p) - p) * low + (p - np.floor(p)) * high)
+    return n, [float(v) for v in out]

@@ -526,3 +526,35 @@ def test_hodges_lehmann_selects_exactly_without_forming_pairs(spark, monkeypatch
             jobs.clear()
             assert nonparametric.hodges_lehmann(df, "value", "group", ("a", "b"), most_pairs=most) == want
             assert len(jobs) <= 16
+
+
+def test_percentiles_are_those_of_spark(spark):
+    from quillon.plans.blocks import percentiles
+
+    rng = np.random.default_rng(9)
+    probs = [0.0, 0.001, 0.25, 1 / 3, 0.5, 0.77, 0.999, 1.0]
+    for v in (rng.normal(size=5_001), np.round(rng.normal(size=4_000), 1), np.r_[np.zeros(900), rng.pareto(0.3, 300)], np.array([1.0, 4.0]), np.full(30, 7.0)):
+        rows = series(spark, v).select("value").repartition(3)
+        want = rows.agg(F.percentile("value", probs)).first()[0]
+        for most in (0, 500_000):  # sorted in bins, or on the driver
+            assert percentiles(rows, probs, most) == (len(v), want)
+    assert percentiles(rows.filter("value < 0"), probs) == (0, [])
+
+
+def test_residual_charts_collect_no_percentile(spark, monkeypatch):
+    """A percentile of Spark holds all residuals in one task."""
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=1_200), rng.normal(size=1_200)
+    rows = series(spark, y, x=x)
+    r = regression.ols_diagnostics(rows, "value", ["x"], ["pos"])
+    e = np.sort([v[0] for v in r.select("residual").collect()])
+    want = r.agg(F.percentile("residual", [(i - 0.375) / 1200.25 for i in np.unique(np.linspace(1, 1200, 200).round().astype(int)).tolist()])).first()[0]
+
+    def refuse(*_):
+        raise AssertionError("an exact percentile in one task")
+
+    monkeypatch.setattr(F, "percentile", refuse)
+    charts = {c["title"]: c["traces"][0] for c in regression.residual_diagnostics(r)}
+    assert charts["Normal Q-Q"]["y"] == want and charts["Normal Q-Q"]["y"][0] >= e[0]
+    assert sum(charts["Residuals"]["y"]) == 1200
+    assert charts["Residuals vs order"]["x"] == list(range(0, 1200, 3)) and len(charts["Residuals vs fitted"]["x"]) == 500
