@@ -266,7 +266,7 @@ def johnson_transform(df: DataFrame, value: str) -> DataFrame:
     """Johnson SU by quantile matching refined on the likelihood: transformed = gamma + delta * asinh((x - xi) / lambda); Box-Cox ("SL") if SU cannot be fitted."""
     z = 0.524
     probs = [S.norm_cdf(k * z) for k in (-3, -1, 1, 3)]
-    a, b, c, d = clean(df, [value]).agg(F.percentile(value, probs)).first()[0]
+    a, b, c, d = percentiles(clean(df, [value]), probs)[1]
     m, n_, p = d - c, b - a, c - b
     if p <= 0 or m / p * n_ / p <= 1.0001:
         return box_cox(df, value).withColumn("family", F.lit("SL")).drop("lambda")

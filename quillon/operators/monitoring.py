@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.parametric import need
 from quillon.operators.timeseries import positioned, running
+from quillon.plans.blocks import percentiles
 from quillon.plans.stats import clean, finish, frame, num, value_table
 
 # The detectors' constants.
@@ -79,7 +80,7 @@ def page_hinkley_detect(df: DataFrame, value: str, order: Sequence[str], directi
 def compute_psi(reference: DataFrame, current: DataFrame, value: str, n_bins: int = PSI_BINS) -> DataFrame:
     """A row per bin with its terms and the total; values outside the reference's range count only in the denominator."""
     ref, cur = clean(reference, [value]), clean(current, [value])
-    edges = sorted(set(ref.agg(F.percentile(value, [i / n_bins for i in range(n_bins + 1)])).first()[0]))
+    edges = sorted(set(percentiles(ref, [i / n_bins for i in range(n_bins + 1)])[1]))
     if len(edges) < 3:
         lo, hi = ref.agg(F.min(value), F.max(value)).first()
         edges = list(np.linspace(lo, hi, n_bins + 1))

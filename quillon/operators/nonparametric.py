@@ -7,12 +7,13 @@ from collections.abc import Callable, Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import effects as E
 from quillon.functions import special as S
 from quillon.operators.parametric import TEST, _only, anova_parts, need, result, two, two_sample_from
+from quillon.plans.blocks import percentiles
 from quillon.plans.differences import BINS, Differences
 from quillon.plans.stats import clean, dicts, finish, group_stats, mid_rank, ordered, value_table, var0
 
@@ -31,6 +32,12 @@ def rank_groups(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -
     return g.join(ties, list(by)) if by else g.crossJoin(F.broadcast(ties))
 
 
+def middle(rows: DataFrame, value: str) -> Column:
+    """The exact median of all rows as a literal."""
+    found = percentiles(rows.select(value), [0.5])[1]
+    return F.lit(found[0] if found else None).cast("double")
+
+
 def hodges_lehmann(df: DataFrame, value: str, group: str, labels: tuple[str, str], most_pairs: int = 4_000_000, tolerance: float = 0.0) -> float:
     """Median of all differences x - y: the mean of the two middle ones, at every size.
 
@@ -164,8 +171,8 @@ def mood_median(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> D
     from quillon.operators.parametric import chi2_of
 
     rows = clean(df, [value], [group])
-    med = rows.agg(F.median(value).alias("_m"))
-    per = rows.crossJoin(F.broadcast(med)).groupBy(group).agg(F.sum((F.col(value) > F.col("_m")).cast("long")).alias("above"), F.count("*").alias("n"), F.first("_m").alias("m"))
+    med = middle(rows, value)
+    per = rows.withColumn("_m", med).groupBy(group).agg(F.sum((F.col(value) > F.col("_m")).cast("long")).alias("above"), F.count("*").alias("n"), F.first("_m").alias("m"))
     stats = per.groupBy().agg(F.sort_array(F.collect_list(F.struct(F.col(group).cast("string").alias("label"), "above", "n", "m"))).alias("g"))
 
     def close(r):
@@ -195,8 +202,8 @@ def runs_test(df: DataFrame, value: str, order: Sequence[str], cutoff: float | N
     rows = clean(df, [value], order)
     pos = ordered(rows, order)
     cut = F.lit(float(cutoff)) if cutoff is not None else F.col("_m")
-    med = rows.agg(F.median(value).alias("_m"))
-    signs = pos.crossJoin(F.broadcast(med)).withColumn("s", F.col(value) > cut).select("pos", "s", "_m")
+    med = middle(rows, value)
+    signs = pos.withColumn("_m", med).withColumn("s", F.col(value) > cut).select("pos", "s", "_m")
     # neighbours meet by an equi-join on position, so nothing needs one global window
     after = signs.select((F.col("pos") - 1).alias("pos"), F.col("s").alias("s2"))
     stats = signs.join(after, "pos", "left").agg(F.count("*").alias("n"), F.sum(F.col("s").cast("long")).alias("n1"), F.sum((F.col("s") != F.col("s2")).cast("long")).alias("changes"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillon.functions import special as S
 from quillon.operators.core import ad_critical, ad_statistic, normality_stats
 from quillon.operators.parametric import anova_parts, need
+from quillon.plans.blocks import percentiles
 from quillon.plans.stats import clean, dicts, finish, group_stats, num
 
 PLAN = "plan_type string, sample_size long, acceptance_number long, k_value double, aql double, ltpd double, aoql double, producer_risk double, consumer_risk double, oc array<struct<defect_rate:double,p_accept:double>>"
@@ -84,7 +85,8 @@ def nonnormal_capability(df: DataFrame, value: str, lsl: float | None = None, us
     need(lsl is not None or usl is not None, "a specification limit is needed")
     rows = clean(df, [value])
     out = (F.lit(False) if lsl is None else F.col(value) < lsl) | (F.lit(False) if usl is None else F.col(value) > usl)
-    q = rows.agg(F.percentile(value, [0.00135, 0.5, 0.99865]).alias("q"), F.avg(out.cast("double")).alias("out"))
+    found = percentiles(rows, [0.00135, 0.5, 0.99865])[1]
+    q = rows.agg(F.avg(out.cast("double")).alias("out")).withColumn("q", F.array(*map(F.lit, found)))
 
     def close(r):
         lo, med, hi = r["q"]
